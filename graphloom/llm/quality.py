@@ -10,7 +10,9 @@ linear in the average.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,8 @@ from ._common import read
 BUCKETS = 1 << 18
 DIM = 16
 MAX_TRAIN = 4000
-EPOCHS = 4
+EPOCHS = 3
+PRIOR = 64
 RATE = 0.5
 THRESHOLD = 0.7
 HELD_OUT = 2
@@ -34,54 +37,71 @@ def held_out(doc_id: F.Column = None):
     return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % 4 == HELD_OUT
 
 
-def _features(word: bytes, buckets: int) -> list[int]:
-    """Buckets of a word and of its character (byte) 3- and 4-grams, with its ends marked."""
-    w = b"<" + word[:64] + b">"
-    h = zlib.crc32
-    out = [h(word) % buckets]
-    for n in (3, 4):
-        out += [h(w[i : i + n], n) % buckets for i in range(len(w) - n + 1)]
-    return out
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
 
-def _pairs(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    x = hashes[:-1] * _MIX + hashes[1:]
+def _buckets(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets from 2 on; 0 is the feature every text has, 1 that of a word said twice in a row."""
+    x = x * _MIX
     x ^= x >> np.uint64(29)
-    return ((x * _MIX) >> np.uint64(32)) % np.uint64(buckets)
+    return (((x * _MIX) >> np.uint64(32)) % np.uint64(buckets - 2) + np.uint64(2)).astype(np.int32)
+
+
+def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their byte 3- and 4-grams with the ends marked: (all in a row by word, how many a word has)."""
+    marked = [b"<" + w[:64] + b">" for w in words]
+    at = np.repeat(np.arange(len(words)), [len(w) for w in marked])
+    b = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    owner, found = [np.arange(len(words))], [_buckets(_word_hashes(words), buckets)]
+    for n in (3, 4):
+        if len(b) >= n:
+            inside = at[: len(b) - n + 1] == at[n - 1 :]
+            gram = sum((b[i : len(b) - n + 1 + i] << np.uint64(8 * i) for i in range(n)), np.uint64(n) << np.uint64(40))
+            owner.append(at[: len(b) - n + 1][inside])
+            found.append(_buckets(gram[inside], buckets))
+    owner, found = np.concatenate(owner), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    return found[order], np.bincount(owner, minlength=len(words))
+
+
+def pair_features(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Buckets of neighbouring words; a word that follows itself has a bucket of its own, whatever the word."""
+    out = _buckets(hashes[:-1] * _MIX + hashes[1:], buckets)
+    out[hashes[:-1] == hashes[1:]] = 1
+    return out
 
 
-class Bag:
-    """Feature counts of texts; remembers what it worked out for a word."""
+def split(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
-    def __init__(self, buckets: int = BUCKETS):
-        self.buckets, self.seen = buckets, {}
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        ws = text.encode("utf-8", "surrogatepass").split() if text else []
-        if not ws:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        seen = self.seen
-        for w in set(ws) - seen.keys():
-            seen[w] = np.array(_features(w, self.buckets), np.int32)
-        every = np.concatenate([seen[w] for w in ws])
-        hashes = np.fromiter((zlib.crc32(w) for w in ws), np.uint64, len(ws))
-        ids, n = np.unique(np.concatenate([every, _pairs(hashes, self.buckets).astype(np.int32)]), return_counts=True)
-        return ids.astype(np.int32), n.astype(np.int32)
+def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of a text and their counts; the feature every text has counts PRIOR times, so short texts lean on it."""
+    ws = split(text)
+    if not ws:
+        return np.zeros(1, np.int32), np.full(1, PRIOR, np.int32)
+    times = Counter(ws)
+    flat, per = word_features(list(times), buckets)
+    ids, inverse = np.unique(np.concatenate([flat, pair_features(_word_hashes(ws), buckets)]), return_inverse=True)
+    weight = np.concatenate([np.repeat(np.fromiter(times.values(), float, len(times)), per), np.ones(len(ws) - 1)])
+    return np.concatenate([[0], ids]).astype(np.int32), np.concatenate([[PRIOR], np.bincount(inverse, weights=weight)]).astype(np.int32)
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """Learn table and softmax layer; returns (one score a bucket, bias), all that scoring needs."""
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
-    layer, bias = np.zeros((2, dim)), np.zeros(2)
+    table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
+    layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
             ids, n = bags[i]
             lr = rate * (1 - step / steps)
             step += 1
-            weight = n / max(1, n.sum())
-            mean = weight @ table[ids] if len(ids) else np.zeros(dim)
+            weight = (n / n.sum()).astype(np.float32)
+            rows = table[ids]
+            mean = weight @ rows
             z = layer @ mean + bias
             p = np.exp(z - z.max())
             g = p / p.sum()
@@ -89,56 +109,83 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
             back = g @ layer
             layer -= lr * np.outer(g, mean)
             bias -= lr * 0.1 * g
-            if len(ids):
-                # Features that fill a document get its whole step, rare ones a share: scaled by the largest weight.
-                table[ids] -= lr * np.outer(weight / weight.max(), back)
-    return table @ (layer[1] - layer[0]), float(bias[1] - bias[0])
+            # Features that fill a document get its whole step, rare ones a share: scaled by the largest weight.
+            table[ids] = rows - np.outer(np.float32(lr) / weight.max() * weight, back)
+    return (table @ (layer[1] - layer[0])).astype(float), float(bias[1] - bias[0])
 
 
-def calibrate(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of the logits (Platt) on the learning rows, each class with half of all weight."""
+def calibrate(logits: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
+    """Scale and shift of the logits (Platt) on the learning rows, class 1 weighing its share of all labels."""
     a, b = 1.0, 0.0
     y = labels.astype(float)
-    w = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    w = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum()))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * logits + b, -30, 30)))
-        r, s = w * (p - y), w * p * (1 - p) + 1e-12
-        grad = np.array([(r * logits).sum() + 1e-4 * (a - 1), r.sum()])
-        hess = np.array([[(s * logits * logits).sum() + 1e-4, (s * logits).sum()], [(s * logits).sum(), s.sum() + 1e-9]])
-        d = np.linalg.solve(hess, grad)
-        a, b = a - float(np.clip(d[0], -5, 5)), b - float(np.clip(d[1], -5, 5))
+        r, s = w * (p - y), w * p * (1 - p)
+        grad = np.array([(r * logits).sum() + 1e-3 * (a - 1), r.sum()])
+        hess = np.array([[(s * logits * logits).sum() + 1e-3, (s * logits).sum()], [(s * logits).sum(), s.sum() + 1e-6]])
+        d = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        a, b = a - float(d[0]), b - float(d[1])
         if abs(d).max() < 1e-6:
             break
     return a, b
 
 
 class Model:
+    """One score a bucket, bias and calibration; scores texts in batches and remembers the sums of words it has met."""
+
     def __init__(self, score: np.ndarray, bias: float, scale: float = 1.0, shift: float = 0.0):
         self.score, self.bias, self.scale, self.shift = score, bias, scale, shift
-        self._seen: dict[bytes, tuple] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._index: dict[bytes, int] = {}
+        self._sums, self._counts, self._hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def __getstate__(self):
-        return {"score": self.score.astype(np.float32), "bias": self.bias, "scale": self.scale, "shift": self.shift, "_seen": {}}
-
-    def logit(self, text: str | None) -> float:
-        ws = text.encode("utf-8", "surrogatepass").split() if text else []
-        if not ws:
-            return self.scale * self.bias + self.shift
-        seen = self._seen
-        new = set(ws) - seen.keys()
-        if len(seen) + len(new) > _CACHE_WORDS:
-            seen.clear()
-            new = set(ws)
-        for w in new:
-            f = _features(w, len(self.score))
-            seen[w] = (float(self.score[f].sum()), len(f), zlib.crc32(w))
-        s, n, h = zip(*map(seen.__getitem__, ws))
-        pairs = _pairs(np.array(h, np.uint64), len(self.score))
-        mean = (sum(s) + float(self.score[pairs].sum())) / (sum(n) + len(pairs))
-        return self.scale * (mean + self.bias) + self.shift
-
-    def probability(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
+        return self.score.astype(np.float32), self.bias, self.scale, self.shift
+
+    def __setstate__(self, state):
+        self.__init__(state[0].astype(float), *state[1:])
+
+    def _learn_words(self, fresh: list[bytes]) -> None:
+        n = len(self._index)
+        self._index.update(zip(fresh, range(n, n + len(fresh))))
+        flat, per = word_features(fresh, len(self.score))
+        self._sums = np.concatenate([self._sums, np.add.reduceat(self.score[flat], np.concatenate([[0], np.cumsum(per)[:-1]]))])
+        self._counts = np.concatenate([self._counts, per])
+        self._hashes = np.concatenate([self._hashes, _word_hashes(fresh)])
+
+    def probabilities(self, texts) -> np.ndarray:
+        """Score of every text, 0 to 1."""
+        split_texts = [split(t) for t in texts]
+        sizes = np.array([len(ws) for ws in split_texts], np.int64)
+        total, n = np.full(len(sizes), PRIOR * self.score[0]), np.full(len(sizes), float(PRIOR))
+        words = list(chain.from_iterable(split_texts))
+        if words:
+            fresh = list(set(words) - self._index.keys())
+            if len(fresh) + len(self._index) > _CACHE_WORDS:
+                self._forget()
+                fresh = list(set(words))
+            if fresh:
+                self._learn_words(fresh)
+            at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pairs = self.score[pair_features(self._hashes[at], len(self.score))] * (owner[:-1] == owner[1:])
+            total += np.bincount(owner, self._sums[at], len(sizes)) + np.bincount(owner[:-1], pairs, len(sizes))
+            n += np.bincount(owner, self._counts[at], len(sizes)) + np.maximum(sizes - 1, 0)
+        return 1 / (1 + np.exp(-np.clip(self.scale * (total / n + self.bias) + self.shift, -500, 500)))
+
+    def batches(self, texts, chars: int = 1 << 21) -> np.ndarray:
+        """probabilities() in pieces of about `chars` characters, which bounds the memory of a batch of long texts."""
+        out, piece, size = [np.zeros(0)], [], 0
+        for t in texts:
+            piece.append(t)
+            size += len(t or "")
+            if size >= chars:
+                out.append(self.probabilities(piece))
+                piece, size = [], 0
+        return np.concatenate([*out, self.probabilities(piece)] if piece else out)
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -147,6 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     Rows without id or quality don't count; an id with several labels takes the smallest. Without any usable label the model scores every text 0.5.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("__y"))
+    share = known.agg(F.avg("__y")).first()[0]
     picked = None
     for y in (0, 1):
         part = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
@@ -154,9 +202,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bag = Bag()
         for pdf in batches:
-            made = [bag.counts(t) for t in pdf["text"]]
+            made = [bag(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "ids": [a.astype("<i4").tobytes() for a, _ in made], "n": [b.astype("<i4").tobytes() for _, b in made]})
 
     got = rows.mapInPandas(bags, "doc_id long, y int, ids binary, n binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
@@ -164,9 +211,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         return Model(np.zeros(BUCKETS), 0.0)
     made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
     model = Model(*fit(made, y))
-    logits = np.array([(n @ model.score[ids]) / max(1, n.sum()) + model.bias for ids, n in made])
+    logits = np.array([(n @ model.score[ids]) / n.sum() + model.bias for ids, n in made])
     if 0 < y.sum() < len(y):
-        model.scale, model.shift = calibrate(logits, y)
+        model.scale, model.shift = calibrate(logits, y, share)
     return model
 
 
@@ -177,7 +224,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for pdf in batches:
-            s = np.array([m.probability(t) for t in pdf["text"]], float)
+            s = m.batches(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -190,7 +237,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for pdf in batches:
-            yield pdf[np.array([m.probability(t) >= threshold for t in pdf["text"]], bool)]
+            yield pdf[m.batches(pdf["text"]) >= threshold]
 
     return docs.mapInPandas(run, docs.schema)
 
