@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,31 @@ def n_words(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays into one compressed blob; integers by byte planes, so that small ones cost little."""
+    parts = []
+    for a in arrays:
+        raw, width, n = (a, 0, len(a)) if isinstance(a, bytes) else (a.astype("<i8"), 8, len(a))
+        if width:
+            width = max(1, (int(a.max()).bit_length() + 7) // 8) if n else 1
+            raw = np.ascontiguousarray(raw.view(np.uint8).reshape(n, 8)[:, :width].T).tobytes()
+        parts.append(np.array([width, n], "<i8").tobytes() + raw)
+    return zstandard.compress(b"".join(parts), 3)
+
+
+def unpack(blob: bytes) -> list:
+    raw, out, at = zstandard.decompress(blob), [], 0
+    while at < len(raw):
+        width, n = np.frombuffer(raw, "<i8", 2, at).tolist()
+        at += 16
+        if width:
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+            out.append(wide.view("<i8").reshape(-1))
+            at += n * width
+        else:
+            out.append(raw[at : at + n])
+            at += n
+    return out
