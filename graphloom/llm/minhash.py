@@ -25,37 +25,75 @@ NEAR_SIGNATURE = 0.6
 MEMBERS_A_SALT = 256
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _A = np.uint64(0xD6E8FEB86659FD93)
-_CACHE_WORDS = 500_000
-_hashes: dict[bytes, int] = {}
+_BASE = 0x5851F42D4C957F2D
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+BATCH_BYTES = 1 << 21
+_tables: dict = {}
+
+
+def _word_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words a text) of texts, A-Z lower-cased, vectorised over their bytes."""
+    raws = [t.encode("utf-8", "surrogatepass").translate(_LOWER) if t else b"" for t in texts]
+    buf = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+    word = ~_SPACE[buf]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, stop = edge[::2], edge[1::2]
+    power, inverse = _powers(len(buf))
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
+    h = (sums[stop] - sums[start]) * inverse[start]
+    h = (h ^ (h >> np.uint64(32))) * _A + (stop - start).astype(np.uint64)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    return h, np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    if "powers" not in _tables or len(_tables["powers"][0]) < n:
+        _tables["powers"] = tuple(np.cumprod(np.full(max(n, BATCH_BYTES + BATCH_BYTES // 4), x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _tables["powers"]
+
+
+def _shingle_sets(h: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    at = 0
+    for n in sizes.tolist():
+        ws = h[at : at + n]
+        at += n
+        if not n:
+            yield np.zeros(0, np.uint64)
+        elif n < k:
+            out = np.full(1, n, np.uint64)
+            for x in ws:
+                out = (out ^ x) * _A
+                out ^= out >> np.uint64(32)
+            yield out
+        else:
+            out = ws[: n - k + 1].copy()
+            for i in range(1, k):
+                out ^= out >> np.uint64(32)
+                out *= _A
+                out += ws[i : n - k + 1 + i]
+            out ^= out >> np.uint64(29)
+            out *= _A
+            out ^= out >> np.uint64(32)
+            yield np.unique(out)
+
+
+def shingle_sets(texts, k: int = 4) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; with fewer words, one of the whole sequence; without words, none."""
+    piece, size = [], 0
+    for t in texts:
+        piece.append(t)
+        size += len(t or "")
+        if size >= BATCH_BYTES // 2:
+            yield from _shingle_sets(*_word_table(piece), k)
+            piece, size = [], 0
+    if piece:
+        yield from _shingle_sets(*_word_table(piece), k)
 
 
 def shingles(text: str | None, k: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a text; with fewer words, one of the whole sequence; without words, none."""
-    ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not ws:
-        return np.zeros(0, np.uint64)
-    known = _hashes
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    for w in set(ws) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-    n = len(h)
-    if n < k:
-        out = np.full(1, n, np.uint64)
-        for x in h:
-            out = (out ^ x) * _A
-            out ^= out >> np.uint64(32)
-        return out
-    out = h[: n - k + 1].copy()
-    for i in range(1, k):
-        out ^= out >> np.uint64(32)
-        out *= _A
-        out += h[i : n - k + 1 + i]
-    out ^= out >> np.uint64(29)
-    out *= _A
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return next(shingle_sets([text], k))
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +103,23 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signature(h: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """Minima of n universal (multiply-shift) hash functions over a set."""
-    a, b = _functions(n)
-    out = np.full(n, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(h), 2048):
-        out = np.minimum(out, ((a[:, None] * h[None, i : i + 2048] + b[:, None]) >> np.uint64(32)).min(1))
-    return out.astype(np.uint32)
+    if n not in _tables:
+        _tables[n] = *_functions(n), np.empty((n, 1024), np.uint64)
+    a, b, room = _tables[n]
+    out = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(h), 1024):
+        part = h[i : i + 1024]
+        x = np.multiply(a[:, None], part[None], out=room[:, : len(part)])
+        x += b[:, None]
+        np.minimum(out, x.min(1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def _sign(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                h = shingles(text, k)
+            for doc, h in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
                 if not len(h):
                     rows.append((doc, 0, None, None, None))
                     continue
@@ -92,7 +134,7 @@ def _sign(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "hashes": [shingles(t, k).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "hashes": [h.tobytes() for h in shingle_sets(pdf["text"], k)]})
 
     return run
 

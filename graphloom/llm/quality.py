@@ -163,7 +163,7 @@ class Model:
         total, n = np.full(len(sizes), PRIOR * self.score[0]), np.full(len(sizes), float(PRIOR))
         words = list(chain.from_iterable(split_texts))
         if words:
-            fresh = list(set(words) - self._index.keys())
+            fresh = [w for w in set(words) if w not in self._index]
             if len(fresh) + len(self._index) > _CACHE_WORDS:
                 self._forget()
                 fresh = list(set(words))
