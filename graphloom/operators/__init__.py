@@ -1 +1 @@
-
+"""Relational operators on graphs, vectors and embeddings."""

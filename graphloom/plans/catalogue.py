@@ -1,4 +1,681 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries over the standard tables and the same queries in SQL.
+
+Derived inputs: the part-supplier multigraph of lineitem, the user-item graph of events, a knowledge graph of users, orders, customers, nations and
+regions, the vectors of embeddings, and the lines of documents as a corpus.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..functions.numeric import auto_augmentation_step, bit_ceil, bit_floor, draw, draw_sql, safe_exp, sigmoid
+from ..functions.optim import Optimizer
+from ..functions.scores import score_columns
+from ..operators import evaluate as E
+from ..operators import graph as G
+from ..operators import knn as K
+from ..operators import sampling as R
+from ..operators import transforms as T
+from ..operators import viz
+from ..operators import word_graph as WG
+from ..sources.text import TextFormat
+from ..streaming.degrees import event_edges, windowed_degrees
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r6(c):
+    """Rounded to 6 decimals, without a negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# --- inputs ----------------------------------------------------------------------------------------------------------
+
+
+def supply_graph(spark, sf, weighted: bool = True) -> DataFrame:
+    t = table(spark, sf, "lineitem")
+    w = F.col("l_quantity").cast("double") if weighted else F.lit(1.0)
+    return t.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), w.alias("weight"))
+
+
+LG = "lg AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(l_quantity AS DOUBLE) AS weight FROM lineitem)"
+LGU = LG + ", adj AS (SELECT src, dst, weight FROM lg UNION ALL SELECT dst, src, weight FROM lg WHERE src <> dst)"
+
+
+def user_items(spark, sf) -> DataFrame:
+    return event_edges(table(spark, sf, "events"))
+
+
+EG = "eg AS (SELECT ts, 'u' || user_id AS src, 'i' || (props::JSON ->> '$.k') AS dst, 1.0::DOUBLE AS weight FROM events WHERE (props::JSON ->> '$.k') IS NOT NULL AND ts IS NOT NULL)"
+
+
+def knowledge(spark, sf) -> DataFrame:
+    e, c, n, s, o = (table(spark, sf, x) for x in ("events", "customer", "nation", "supplier", "orders"))
+    name = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    parts = [
+        e.where(F.get_json_object("props", "$.k").isNotNull()).select(name("u", "user_id").alias("h"), F.col("event_type").alias("r"), F.concat(F.lit("i"), F.get_json_object("props", "$.k")).alias("t")),
+        c.select(name("c", "c_custkey").alias("h"), F.lit("in_nation").alias("r"), name("n", "c_nationkey").alias("t")),
+        s.select(name("s", "s_suppkey").alias("h"), F.lit("in_nation").alias("r"), name("n", "s_nationkey").alias("t")),
+        n.select(name("n", "n_nationkey").alias("h"), F.lit("in_region").alias("r"), name("r", "n_regionkey").alias("t")),
+        o.select(name("o", "o_orderkey").alias("h"), F.lit("placed_by").alias("r"), name("c", "o_custkey").alias("t")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("weight", F.lit(1.0))
+
+
+TKG = """kg AS (
+  SELECT 'u' || user_id AS h, event_type AS r, 'i' || (props::JSON ->> '$.k') AS t, 1.0::DOUBLE AS weight FROM events WHERE (props::JSON ->> '$.k') IS NOT NULL
+  UNION ALL SELECT 'c' || c_custkey, 'in_nation', 'n' || c_nationkey, 1.0 FROM customer UNION ALL SELECT 's' || s_suppkey, 'in_nation', 'n' || s_nationkey, 1.0 FROM supplier
+  UNION ALL SELECT 'n' || n_nationkey, 'in_region', 'r' || n_regionkey, 1.0 FROM nation UNION ALL SELECT 'o' || o_orderkey, 'placed_by', 'c' || o_custkey, 1.0 FROM orders)"""
+
+
+def vectors(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"
+
+
+def triples(spark, sf) -> DataFrame:
+    """(ord, h, r, t) of vector ids by arithmetic, with their vectors hv, rv and tv."""
+    v = vectors(spark, sf).select("id", "vec")
+    n = F.lit(500)
+    base = v.select(F.col("id").alias("ord"), F.col("id").alias("h"), ((F.col("id") * 7 + 3) % n).alias("r"), ((F.col("id") * 11 + 5) % n).alias("t"))
+    for c in "hrt":
+        base = base.join(v.select(F.col("id").alias(c), F.col("vec").alias(f"{c}v")), c)
+    return base
+
+
+TRI = VEC + """, tri AS (SELECT a.id AS ord, a.id AS h, b.id AS r, c.id AS t, a.vec AS hv, b.vec AS rv, c.vec AS tv FROM v a JOIN v b ON b.id = (a.id * 7 + 3) % 500 JOIN v c ON c.id = (a.id * 11 + 5) % 500)"""
+
+
+def corpus(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "value"))
+    fmt = TextFormat()
+    return lines.select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("line"), fmt.tokens(F.col("value")).alias("tokens")).where(F.size("tokens") > 0)
+
+
+WORDS = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
+tk AS (SELECT doc_id * 1000000 + n AS line, list_filter(regexp_split_to_array(split_part(value, '#', 1), '[ \\t\\r\\n]+'), lambda x: x <> '') AS tokens FROM ln),
+wd AS (SELECT line, unnest(tokens) AS word, unnest(range(len(tokens))) AS pos FROM tk),
+fr AS (SELECT word, count(*) AS freq FROM wd GROUP BY word HAVING count(*) >= 5)"""
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {LG}, n AS (SELECT name, row_number() OVER (ORDER BY name COLLATE "C") - 1 AS id FROM (SELECT src AS name FROM lg UNION SELECT dst FROM lg))
+SELECT a.id AS src, b.id AS dst, weight FROM lg JOIN n a ON a.name = src JOIN n b ON b.name = dst""".replace(' COLLATE "C"', ""))
+def edge_list_load(spark, sf):
+    edges = supply_graph(spark, sf)
+    return G.encode(edges, G.vertex_names(edges)).select("src", "dst", "weight")
+
+
+@query(f"""WITH {TKG}, e AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT h AS name FROM kg UNION SELECT t FROM kg)),
+q AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT DISTINCT r AS name FROM kg))
+SELECT a.id AS h, q.id AS r, b.id AS t, weight FROM kg JOIN e a ON a.name = h JOIN e b ON b.name = t JOIN q ON q.name = r""")
+def kg_load(spark, sf):
+    k = knowledge(spark, sf)
+    return G.encode_triplets(k, *G.kg_names(k)).select("h", "r", "t", "weight")
+
+
+@query(f"WITH {LGU} SELECT * FROM adj")
+def undirected_edges(spark, sf):
+    return G.directed(supply_graph(spark, sf))
+
+
+@query("WITH e AS (SELECT c_nationkey AS src, c_custkey % 25 AS dst, 1.0::DOUBLE AS weight FROM customer) SELECT src::BIGINT AS src, dst::BIGINT AS dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e WHERE src <> dst")
+def self_loop_rule(spark, sf):
+    c = table(spark, sf, "customer")
+    return G.directed(c.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 25).alias("dst"), F.lit(1.0).alias("weight")))
+
+
+@query(f"WITH {LGU} SELECT id, sum(weight) AS weight FROM (SELECT src AS id, weight FROM adj UNION ALL SELECT dst, 0 FROM adj) GROUP BY id")
+def weighted_degree(spark, sf):
+    return G.vertex_weights(G.directed(supply_graph(spark, sf)))
+
+
+@query(f"WITH {TKG} SELECT id, sum(weight) AS weight FROM (SELECT h AS id, weight FROM kg UNION ALL SELECT t, 0 FROM kg) GROUP BY id")
+def kg_head_weight(spark, sf):
+    return G.head_weights(knowledge(spark, sf))
+
+
+@query(f"WITH {LGU} SELECT src, dst, round(weight / sqrt(sum(weight) OVER (PARTITION BY src) * sum(weight) OVER (PARTITION BY dst)), 6) AS weight FROM adj")
+def normalize_adjacency(spark, sf):
+    return G.normalize(G.directed(supply_graph(spark, sf))).withColumn("weight", r6("weight"))
+
+
+@query(f"WITH {TKG} SELECT h, r, t, round(weight / sqrt(sum(weight) OVER (PARTITION BY h, r) * sum(weight) OVER (PARTITION BY t, r)), 6) AS weight FROM kg")
+def kg_normalize(spark, sf):
+    return G.kg_normalize(knowledge(spark, sf)).withColumn("weight", r6("weight"))
+
+
+@query(f"WITH {LGU}, d AS (SELECT src, count(*) AS degree FROM adj GROUP BY src) SELECT src, degree, CAST(sum(degree) OVER (ORDER BY src) - degree AS BIGINT) AS first FROM d")
+def adjacency_flatten_offsets(spark, sf):
+    return G.offsets(G.directed(supply_graph(spark, sf))).withColumnRenamed("offset", "first")
+
+
+@query(f"WITH {LGU} SELECT src, dst, weight FROM adj")
+def adjacency_round_trip(spark, sf):
+    return G.flatten(G.adjacency_lists(G.directed(supply_graph(spark, sf))))
+
+
+@query(f"WITH {LG} SELECT (SELECT count(*) FROM (SELECT src FROM lg UNION SELECT dst FROM lg)) AS num_vertex, (SELECT count(*) FROM lg) AS num_edge")
+def graph_info(spark, sf):
+    return G.graph_info(supply_graph(spark, sf))
+
+
+@query(f"WITH {TKG} SELECT (SELECT count(*) FROM (SELECT h FROM kg UNION SELECT t FROM kg)) AS num_entity, count(DISTINCT r) AS num_relation, count(*) AS num_edge FROM kg")
+def kg_info(spark, sf):
+    return G.kg_info(knowledge(spark, sf))
+
+
+@query(f"""WITH {LGU}, w AS (SELECT id, sum(weight) AS weight FROM (SELECT src AS id, weight FROM adj UNION ALL SELECT dst, 0 FROM adj) GROUP BY id),
+z AS (SELECT id, weight, (row_number() OVER (ORDER BY weight DESC, id) - 1) % 16 AS x FROM w) SELECT id, weight, CAST(least(x, 15 - x) AS INTEGER) AS part FROM z""")
+def zigzag_partition(spark, sf):
+    return G.zigzag_partition(G.vertex_weights(G.directed(supply_graph(spark, sf))), 8)
+
+
+@query(f"""WITH {LG} SELECT src || chr(9) || dst || chr(9) || printf('%f', weight) AS value FROM lg""")
+def edge_dump_lines(spark, sf):
+    return supply_graph(spark, sf).select(F.concat_ws("\t", "src", "dst", F.format_string("%f", "weight")).alias("value"))
+
+
+# --- dataset transforms ----------------------------------------------------------------------------------------------
+
+
+@query("WITH l AS (SELECT doc_id AS node, source AS label FROM documents), t AS (SELECT label FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 5) SELECT node, label FROM l WHERE label IN (SELECT label FROM t)")
+def top_k_label(spark, sf):
+    return T.top_k_label(table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.col("source").alias("label")), 5)
+
+
+@query(f"WITH {LG}, n AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size > 10 UNION SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0) SELECT src, dst, weight FROM lg WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
+def induced_graph(spark, sf):
+    parts = table(spark, sf, "part").where("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    suppliers = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return T.induced_graph(supply_graph(spark, sf), parts.unionByName(suppliers))
+
+
+_SPLIT_U = draw_sql("(l_orderkey * 10 + l_linenumber) % 2147483648", 0, 1024)
+
+
+@query(f"SELECT l_orderkey * 10 + l_linenumber AS line, CASE WHEN u < 0.8 THEN 0 WHEN u < 0.9 THEN 1 ELSE 2 END AS part FROM (SELECT *, {_SPLIT_U} AS u FROM lineitem) WHERE u < 1")
+def edge_split(spark, sf):
+    lines = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return T.edge_split(lines, [0.8, 0.1, 0.1], 1024).where("part IS NOT NULL")
+
+
+@query()
+def link_prediction_negatives(spark, sf):
+    edges = supply_graph(spark, sf).select("src", "dst")
+    return T.negative_edges(edges, 500, 1024)
+
+
+@query("SELECT alias, min(object) AS object FROM (SELECT p_brand AS object, p_name AS alias FROM part UNION ALL SELECT p_type, p_brand FROM part) GROUP BY alias HAVING count(DISTINCT object) = 1")
+def alias_map(spark, sf):
+    p = table(spark, sf, "part")
+    rows = p.select(F.col("p_brand").alias("object"), F.array("p_name").alias("aliases")).unionByName(p.select(F.col("p_type").alias("object"), F.array("p_brand").alias("aliases")))
+    return T.alias_map(rows)
+
+
+_MATH = f"SELECT i AS id, CAST(floor({draw_sql('i', 0, 1023)} * 1000) AS BIGINT) AS x, CAST(floor({draw_sql('i', 1, 1023)} * 30) AS BIGINT) + 1 AS y, CAST(floor({draw_sql('i', 2, 1023)} * 5) AS BIGINT) AS o FROM range(20000) t(i)"
+
+
+@query(f"SELECT id, x::VARCHAR AS h, (['+', '-', '*', '/', '%'])[o + 1] || y AS r, (CASE o WHEN 0 THEN (x + y) % 1000 WHEN 1 THEN (x - y + 1000) % 1000 WHEN 2 THEN (x * y) % 1000 WHEN 3 THEN x // y ELSE x % y END)::VARCHAR AS t FROM ({_MATH})")
+def math_triplets(spark, sf):
+    return T.math_triplets(spark, 20000, 1023)
+
+
+def _places(spark, sf) -> DataFrame:
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    named = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    roots = r.select(F.col("r_name").alias("child"), F.lit("WORLD").alias("parent"))
+    return named.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).unionByName(roots).unionByName(spark.createDataFrame([("WORLD", None)], "child string, parent string"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region UNION ALL SELECT 'WORLD', NULL),
+t AS (SELECT child, child AS path, 1 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.child, t.path || '/' || p.child, depth + 1 FROM t JOIN p ON p.parent = t.child)
+SELECT child, path, CAST(depth AS INTEGER) AS depth FROM t""")
+def hierarchy_labels(spark, sf):
+    return T.root_paths(_places(spark, sf)).select("child", F.array_join("path", "/").alias("path"), F.size("path").alias("depth"))
+
+
+@query("SELECT 0 AS split, c_custkey AS id FROM customer UNION ALL SELECT 1, s_suppkey FROM supplier")
+def concat_splits(spark, sf):
+    return T.concat_splits(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))).select("split", "id")
+
+
+@query("SELECT replace(c_name || ',' || c_mktsegment, ',', chr(9)) AS value FROM customer")
+def csv_to_tabs(spark, sf):
+    return table(spark, sf, "customer").select(F.translate(F.concat_ws(",", "c_name", "c_mktsegment"), ",", "\t").alias("value"))
+
+
+@query(f"WITH {WORDS} SELECT line, array_to_string(tokens, ' ') AS tokens FROM tk WHERE len(tokens) > 0")
+def tokenize_lines(spark, sf):
+    return corpus(spark, sf).select("line", F.array_join("tokens", " ").alias("tokens"))
+
+
+# --- word graphs -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {WORDS} SELECT word, freq FROM fr")
+def word_frequency(spark, sf):
+    return WG.word_frequency(corpus(spark, sf), 5)
+
+
+_PAIRS = WORDS + ", kp AS (SELECT line, word, row_number() OVER (PARTITION BY line ORDER BY pos) AS p FROM wd JOIN fr USING (word)), pr AS (SELECT a.word AS u, b.word AS v FROM kp a JOIN kp b ON a.line = b.line AND b.p BETWEEN a.p + 1 AND a.p + 2), bo AS (SELECT u, v FROM pr UNION ALL SELECT v, u FROM pr)"
+
+
+@query(f"WITH {_PAIRS} SELECT u AS src, v AS dst, CAST(count(*) AS DOUBLE) AS weight FROM bo GROUP BY u, v")
+def word_cooccurrence(spark, sf):
+    return WG.word_graph(corpus(spark, sf), 2, 5)
+
+
+@query(f"WITH {_PAIRS} SELECT u AS id, CAST(count(*) AS DOUBLE) AS weight FROM bo GROUP BY u")
+def word_graph_degree(spark, sf):
+    return WG.word_graph(corpus(spark, sf), 2, 5).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("weight"))
+
+
+@query(f"WITH {_PAIRS} SELECT u AS src, v AS dst, 1.0::DOUBLE AS weight FROM bo")
+def word_occurrences(spark, sf):
+    return WG.word_occurrences(corpus(spark, sf), 2, 5)
+
+
+# --- vectors and neighbours ------------------------------------------------------------------------------------------
+
+_COMP = VEC + ", c AS (SELECT id, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM v)"
+
+
+@query(f"WITH {_COMP}, m AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS y FROM c) SELECT id, CAST(i AS INTEGER) AS i, round(y / (max(abs(y)) OVER (PARTITION BY i) + 1e-15), 6) + 0.0 AS x FROM m")
+def vector_normalize(spark, sf):
+    return K.normalize_vectors(vectors(spark, sf).select("id", "vec")).select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", r6("x").alias("x"))
+
+
+@query(f"WITH {_COMP} SELECT id, CAST(i AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) + 0.0 AS x FROM c")
+def vector_l2_normalize(spark, sf):
+    return vectors(spark, sf).select("id", F.posexplode(V.l2_normalized(F.col("vec"))).alias("i", "x")).select("id", "i", r6("x").alias("x"))
+
+
+_KNN = VEC + ", p AS (SELECT a.id AS src, b.id AS dst, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM v a JOIN v b ON a.id <> b.id), k AS (SELECT src, dst, d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM p)"
+
+
+@query(f"WITH {_KNN} SELECT src, dst, round(d2, 6) AS d2, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
+def knn_exact(spark, sf):
+    return K.knn(vectors(spark, sf), 5).select("src", "dst", r6("d2").alias("d2"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {_KNN}, e AS (SELECT src, dst, d2 AS weight FROM k WHERE rank <= 5) SELECT e.src, e.dst, round(coalesce((e.weight + b.weight) / 2, e.weight), 6) AS weight FROM e LEFT JOIN e b ON b.src = e.dst AND b.dst = e.src")
+def knn_graph_symmetrized(spark, sf):
+    return G.symmetrize(K.knn(vectors(spark, sf), 5).select("src", "dst", F.col("d2").alias("weight"))).withColumn("weight", r6("weight"))
+
+
+@query()
+def perplexity_weights(spark, sf):
+    return K.perplexity_weights(K.knn(vectors(spark, sf), 30).drop("rank"), 10.0).select("src", "dst", r6("weight").alias("weight"))
+
+
+@query()
+def knn_graph_build(spark, sf):
+    return K.knn_graph(vectors(spark, sf).select("id", "vec"), 20, 10.0).select("src", "dst", r6("weight").alias("weight"))
+
+
+# --- scores ----------------------------------------------------------------------------------------------------------
+
+
+def _score(name: str, model: str, expression: str):
+    def run(spark, sf):
+        return triples(spark, sf).select("ord", r6(score_columns(model, F.col("hv"), F.col("tv"), F.col("rv"), 12.0)).alias("score"))
+
+    run.__name__ = name
+    query(f"WITH {TRI} SELECT ord, round({expression}, 6) + 0.0 AS score FROM tri")(run)
+
+
+_I2, _I4 = "range(1, 33)", "range(1, 17)"
+_re, _im = (lambda a, k="k": f"{a}[2 * {k} - 1]"), (lambda a, k="k": f"{a}[2 * {k}]")
+_score("score_line", "LINE", "list_dot_product(hv, tv)")
+_score("score_deepwalk", "DeepWalk", "list_dot_product(hv, tv)")
+_score("score_node2vec", "node2vec", "list_dot_product(hv, tv)")
+_score("score_transe", "TransE", "12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k] + rv[k] - tv[k])))")
+_score("score_distmult", "DistMult", "list_sum(list_transform(range(1, 65), lambda k: hv[k] * rv[k] * tv[k]))")
+_score("score_complex", "ComplEx", f"list_sum(list_transform({_I2}, lambda k: ({_re('hv')} * {_re('rv')} - {_im('hv')} * {_im('rv')}) * {_re('tv')} + ({_re('hv')} * {_im('rv')} + {_im('hv')} * {_re('rv')}) * {_im('tv')}))")
+_score("score_simple", "SimplE", f"list_sum(list_transform({_I2}, lambda k: {_re('hv')} * {_re('rv')} * {_im('tv')} + {_im('hv')} * {_im('rv')} * {_re('tv')}))")
+_score("score_rotate", "RotatE", f"12.0 - list_sum(list_transform({_I2}, lambda k: sqrt(pow({_re('hv')} * cos(rv[k]) - {_im('hv')} * sin(rv[k]) - {_re('tv')}, 2) + pow({_re('hv')} * sin(rv[k]) + {_im('hv')} * cos(rv[k]) - {_im('tv')}, 2))))")
+_q = lambda a, j: f"{a}[4 * k - {3 - j}]"
+_a, _b, _c, _d = (_q("hv", j) for j in range(4))
+_p, _r, _u, _w = (_q("rv", j) for j in range(4))
+_score("score_quate", "QuatE", f"list_sum(list_transform({_I4}, lambda k: (({_a}*{_p} - {_b}*{_r} - {_c}*{_u} - {_d}*{_w}) * {_q('tv', 0)} + ({_a}*{_r} + {_b}*{_p} + {_c}*{_w} - {_d}*{_u}) * {_q('tv', 1)} + ({_a}*{_u} - {_b}*{_w} + {_c}*{_p} + {_d}*{_r}) * {_q('tv', 2)} + ({_a}*{_w} + {_b}*{_u} - {_c}*{_r} + {_d}*{_p}) * {_q('tv', 3)}) / (sqrt({_p}*{_p} + {_r}*{_r} + {_u}*{_u} + {_w}*{_w}) + 1e-15)))")
+_score("score_largevis", "LargeVis", "list_sum(list_transform(range(1, 65), lambda k: (hv[k] - tv[k]) * (hv[k] - tv[k])))")
+
+
+@query(f"WITH {TRI} SELECT ord, h AS src, t AS dst, r AS rel, round(12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k] + rv[k] - tv[k]))), 6) AS score FROM tri")
+def predict_logits(spark, sf):
+    samples = triples(spark, sf).select("ord", F.col("h").alias("src"), F.col("t").alias("dst"), F.col("r").alias("rel"))
+    v = vectors(spark, sf)
+    return E.predict(samples, "TransE", v, v, v).withColumn("score", r6("score"))
+
+
+@query(f"WITH {TRI} SELECT ord, round(list_sum(list_transform(range(1, 65), lambda k: (hv[k] + tv[k]) * (hv[k] - tv[k]) * 2.0 + 1.0)), 6) AS s FROM tri")
+def vector_algebra(spark, sf):
+    h, t = F.col("hv"), F.col("tv")
+    return triples(spark, sf).select("ord", r6(V.total(V.shift(V.scale(V.multiply(V.add(h, t), V.subtract(h, t)), 2.0), 1.0))).alias("s"))
+
+
+# --- sampling --------------------------------------------------------------------------------------------------------
+
+_CUM = LG + ", m AS (SELECT src, dst, sum(weight) AS weight FROM lg GROUP BY src, dst), c AS (SELECT *, sum(weight) OVER (ORDER BY src, dst) AS hi, sum(weight) OVER () AS total FROM m)"
+
+
+@query(f"WITH {_CUM}, d AS (SELECT i AS draw, {draw_sql('i', 0, 5)} AS u FROM range(1000) t(i)) SELECT draw, src, dst FROM d JOIN c ON u * total >= hi - weight AND u * total < hi")
+def edge_sample(spark, sf):
+    return R.positive_edges(supply_graph(spark, sf), 1000, 5)
+
+
+@query(f"""WITH {LGU}, w AS (SELECT id, pow(sum(weight), 0.75) AS weight FROM (SELECT src AS id, weight FROM adj UNION ALL SELECT dst, 0 FROM adj) GROUP BY id),
+c AS (SELECT id, weight, sum(weight) OVER (ORDER BY id) AS hi, sum(weight) OVER () AS total FROM w), d AS (SELECT i AS draw, {draw_sql('i', 1, 7)} AS u FROM range(1000) t(i))
+SELECT draw, id FROM d JOIN c ON u * total >= hi - weight AND u * total < hi""")
+def negative_sample_node(spark, sf):
+    return R.negative_vertices(G.vertex_weights(G.directed(supply_graph(spark, sf))), 1000, 0.75, 7)
+
+
+@query(f"""WITH {VEC}, n AS (SELECT id AS pos, id AS h, id % 7 AS r, (id * 11 + 5) % 500 AS t, k FROM v, range(4) z(k)), d AS (SELECT *, {draw_sql('(pos * 4 + k)', 0, 3)} AS a, {draw_sql('(pos * 4 + k)', 1, 3)} AS b FROM n)
+SELECT pos, CAST(k AS INTEGER) AS k, CASE WHEN b < 0.5 THEN CAST(floor(a * 500) AS BIGINT) ELSE h END AS h, r, CASE WHEN b < 0.5 THEN t ELSE CAST(floor(a * 500) AS BIGINT) END AS t FROM d""")
+def negative_sample_kg(spark, sf):
+    rows = vectors(spark, sf).select(F.col("id").alias("pos"), F.col("id").alias("h"), (F.col("id") % 7).alias("r"), ((F.col("id") * 11 + 5) % 500).alias("t"))
+    return R.corrupted_triplets(rows, 500, 4, 3)
+
+
+_WALKS = "wk AS (SELECT p_partkey AS walk, 'p' || p_partkey AS a FROM part)"
+_TRANS = LGU + ", m AS (SELECT src, dst, sum(weight) AS weight FROM adj GROUP BY src, dst), c AS (SELECT src, dst, weight, sum(weight) OVER (PARTITION BY src ORDER BY dst) AS hi, sum(weight) OVER (PARTITION BY src) AS total FROM m)"
+
+
+@query(f"WITH {_TRANS} SELECT src, dst, hi - weight AS lo, hi, total FROM c")
+def transition_tables(spark, sf):
+    return R.transition_tables(G.directed(supply_graph(spark, sf)))
+
+
+@query(f"WITH {_TRANS}, {_WALKS}, d AS (SELECT walk, a, {draw_sql('walk', 1, 9)} AS u FROM wk) SELECT walk, a || CASE WHEN dst IS NULL THEN '' ELSE ' ' || dst END AS path FROM d LEFT JOIN c ON c.src = d.a AND u * total >= hi - weight AND u * total < hi")
+def random_walk_step(spark, sf):
+    starts = table(spark, sf, "part").select(F.col("p_partkey").alias("walk"), F.array(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("path"))
+    return R.walk_step(starts, R.transition_tables(G.directed(supply_graph(spark, sf))), 1, 9).select("walk", F.array_join("path", " ").alias("path"))
+
+
+@query(f"""WITH {EG}, adj AS (SELECT src, dst, weight FROM eg UNION ALL SELECT dst, src, weight FROM eg UNION ALL SELECT src, 'u1', 1.0 FROM eg WHERE src < 'u2' UNION ALL SELECT 'u1', src, 1.0 FROM eg WHERE src < 'u2'),
+m AS (SELECT src, dst, sum(weight) AS weight FROM adj GROUP BY src, dst), s AS (SELECT row_number() OVER (ORDER BY src, dst) AS walk, src AS prev, dst AS cur FROM m WHERE src < 'u15')
+SELECT s.walk, s.prev, s.cur, m.dst, round(CASE WHEN m.dst = s.prev THEN m.weight / 4 WHEN n.src IS NULL THEN m.weight / 2 ELSE m.weight END, 6) AS weight
+FROM s JOIN m ON m.src = s.cur LEFT JOIN m n ON n.src = m.dst AND n.dst = s.prev""")
+def node2vec_weights(spark, sf):
+    from pyspark.sql import Window
+
+    e = user_items(spark, sf).select("src", "dst", "weight")
+    hub = e.where("src < 'u2'").select("src", F.lit("u1").alias("dst"), F.lit(1.0).alias("weight"))
+    adjacency = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).unionByName(hub).unionByName(hub.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    states = adjacency.where("src < 'u15'").select(F.col("src").alias("prev"), F.col("dst").alias("cur")).distinct().withColumn("walk", F.row_number().over(Window.orderBy("prev", "cur")).cast("long"))
+    return R.second_order_weights(states, adjacency, 4.0, 2.0).select("walk", "prev", "cur", "dst", r6("weight").alias("weight"))
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT line, list_slice(tokens, 1, 12) AS path FROM tk WHERE len(tokens) > 1), p AS (SELECT line, unnest(path) AS x, unnest(range(len(path))) AS i FROM s)
+SELECT a.line AS walk, CAST(a.i AS INTEGER) AS pos, CAST(b.i - a.i AS INTEGER) AS k, a.x AS src, b.x AS dst FROM p a JOIN p b ON a.line = b.line AND b.i BETWEEN a.i + 1 AND a.i + 3""")
+def walk_augmentation(spark, sf):
+    walks = corpus(spark, sf).where(F.size("tokens") > 1).select(F.col("line").alias("walk"), F.slice("tokens", 1, 12).alias("path"))
+    return R.augmented_pairs(walks, 3)
+
+
+@query(f"WITH {LG}, i AS (SELECT (SELECT count(*) FROM (SELECT src FROM lg UNION SELECT dst FROM lg)) AS v, (SELECT count(*) FROM lg) AS e) SELECT CAST(floor(ln(1600) / ln(e / v)) AS INTEGER) AS step FROM i")
+def auto_augmentation(spark, sf):
+    info = G.graph_info(supply_graph(spark, sf)).first()
+    return spark.createDataFrame([(auto_augmentation_step(info["num_edge"], info["num_vertex"]),)], "step int")
+
+
+@query()
+def random_walks(spark, sf):
+    return R.random_walks(G.directed(supply_graph(spark, sf)), 200, 5, 11).select("walk", F.array_join("path", " ").alias("path"))
+
+
+@query()
+def node2vec_walks(spark, sf):
+    return R.biased_walks(G.directed(supply_graph(spark, sf)), 200, 4, 4.0, 2.0, 11).select("walk", F.array_join("path", " ").alias("path"))
+
+
+@query(f"WITH {_CUM}, d AS (SELECT i AS draw, {draw_sql('i', 0, 5)} AS u FROM range(1000) t(i)), e AS (SELECT draw, src, dst, length(src) % 2 AS hp, length(dst) % 2 AS tp FROM d JOIN c ON u * total >= hi - weight AND u * total < hi), q AS (SELECT *, row_number() OVER (PARTITION BY hp, tp ORDER BY draw) AS n FROM e) SELECT draw, src, dst, CAST(hp AS INTEGER) AS hp, CAST(tp AS INTEGER) AS tp FROM q WHERE n <= 100")
+def edge_sample_by_block(spark, sf):
+    edges = supply_graph(spark, sf)
+    parts = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("part", F.length("id") % 2)
+    return R.positive_edges_by_block(edges, parts, 1000, 100, 5)
+
+
+# --- numerics and optimizers -----------------------------------------------------------------------------------------
+
+
+@query("SELECT i AS k, round(1 / (1 + exp(-(i - 50) / 5.0)), 6) AS s, round(exp(least(greatest((i - 50) * 1.0, -5), 5)), 6) AS e, CAST(pow(2, floor(log2(i + 1))) AS BIGINT) AS lo, CAST(pow(2, ceil(log2(i + 1))) AS BIGINT) AS hi FROM range(100) t(i)")
+def numeric_functions(spark, sf):
+    i = F.col("id")
+    return spark.range(100).select(i.alias("k"), r6(sigmoid((i - 50) / F.lit(5.0))).alias("s"), r6(safe_exp((i - 50) * F.lit(1.0), 5.0)).alias("e"), bit_floor(i + 1).alias("lo"), bit_ceil(i + 1).alias("hi"))
+
+
+@query("SELECT i AS k, " + draw_sql("i", 3, 4) + " AS u FROM range(2000) t(i)")
+def seeded_draws(spark, sf):
+    return spark.range(2000).select(F.col("id").alias("k"), draw(F.col("id"), 3, 4).alias("u"))
+
+
+def _optimizer(name: str, opt: Optimizer, expression: str):
+    """One step of an optimizer on the first eight components of every vector, against its closed form."""
+
+    def run(spark, sf):
+        def step(batches):
+            import numpy as np
+
+            for pdf in batches:
+                x = np.array(pdf["vec"].to_list(), float)[:, :8]
+                m = [np.full_like(x, 0.5) for _ in range(opt.n_moments)]
+                new = x - opt.step(x, np.cos(x), m, weight=2.0)
+                yield pdf[["id"]].assign(vec=list(np.round(new, 6) + 0.0))
+
+        return vectors(spark, sf).select("id", "vec").mapInPandas(step, "id long, vec array<double>").select("id", F.posexplode("vec").alias("i", "x"))
+
+    run.__name__ = name
+    g = "(2.0 * (cos(x) + 0.01 * x))"
+    query(f"WITH {_COMP} SELECT id, CAST(i AS INTEGER) AS i, round(x - 0.1 * ({expression.format(g=g)}), 6) + 0.0 AS x FROM c WHERE i < 8")(run)
+
+
+_optimizer("sgd_step", Optimizer("SGD", 0.1, 0.01), "{g}")
+_optimizer("momentum_step", Optimizer("Momentum", 0.1, 0.01, options={"momentum": 0.9}), "0.9 * 0.5 + 0.1 * {g}")
+_optimizer("adagrad_step", Optimizer("AdaGrad", 0.1, 0.01), "{g} / (sqrt(0.5 + {g} * {g}) + 1e-10)")
+_optimizer("rmsprop_step", Optimizer("RMSprop", 0.1, 0.01, options={"alpha": 0.9}), "{g} / sqrt(0.9 * 0.5 + 0.1 * {g} * {g} + 1e-8)")
+_optimizer("adam_step", Optimizer("Adam", 0.1, 0.01, options={"beta1": 0.9, "beta2": 0.99}), "(0.9 * 0.5 + 0.1 * {g}) / (sqrt(0.99 * 0.5 + 0.01 * {g} * {g}) + 1e-8)")
+
+
+@query("SELECT i AS batch, greatest(1 - i / 100.0, 1e-4)::DOUBLE AS linear, 1.0::DOUBLE AS constant FROM range(120) t(i)")
+def lr_schedule(spark, sf):
+    i = F.col("id")
+    return spark.range(120).select(i.alias("batch"), F.greatest(1 - i / F.lit(100.0), F.lit(1e-4)).alias("linear"), F.lit(1.0).alias("constant"))
+
+
+@query(f"""WITH {TRI}, s AS (SELECT ord % 50 AS q, ord, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k] + rv[k] - tv[k]))) AS z FROM tri), e AS (SELECT q, ord, exp(least(greatest((z - first(z) OVER (PARTITION BY q ORDER BY ord)) / 2, -80), 80)) AS e FROM s)
+SELECT q, ord, round(e / sum(e) OVER (PARTITION BY q), 6) AS weight FROM e""")
+def self_adversarial_weights(spark, sf):
+    from pyspark.sql import Window
+
+    s = triples(spark, sf).select((F.col("ord") % 50).alias("q"), "ord", score_columns("TransE", F.col("hv"), F.col("tv"), F.col("rv")).alias("z"))
+    by = Window.partitionBy("q")
+    e = s.withColumn("e", safe_exp((F.col("z") - F.first("z").over(by.orderBy("ord"))) / 2.0, 80.0))
+    return e.select("q", "ord", r6(F.col("e") / F.sum("e").over(by)).alias("weight"))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LG} SELECT src, dst, weight FROM lg WHERE (src, dst) NOT IN (SELECT (src, dst) FROM (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'A'))")
+def filter_known_edges(spark, sf):
+    known = table(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    return E.without_known(supply_graph(spark, sf), known).select("src", "dst", "weight")
+
+
+@query(f"WITH {LG}, n AS (SELECT 'p' || p_partkey AS name, p_partkey AS id FROM part WHERE p_size > 10), m AS (SELECT 's' || s_suppkey AS name, s_suppkey AS id FROM supplier) SELECT n.id AS src, m.id AS dst, weight FROM lg JOIN n ON n.name = src JOIN m ON m.name = dst")
+def effective_names(spark, sf):
+    parts = table(spark, sf, "part").where("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_partkey").alias("id"))
+    suppliers = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("id"))
+    return E.name_map(supply_graph(spark, sf), {"src": parts, "dst": suppliers}).select("src", "dst", "weight")
+
+
+@query(f"WITH {LG}, n AS (SELECT 'p' || p_partkey AS name FROM part WHERE p_size > 10) SELECT (SELECT count(*) FROM lg) AS n_before, (SELECT count(*) FROM lg JOIN n ON n.name = src) AS n_after")
+def effective_counts(spark, sf):
+    edges = supply_graph(spark, sf)
+    parts = table(spark, sf, "part").where("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("src"))
+    return T.effective(edges, edges.join(parts, "src", "left_semi"))
+
+
+@query("SELECT node, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT user_id AS node, event_type AS label FROM events) WHERE label IS NOT NULL GROUP BY node")
+def labelled_nodes(spark, sf):
+    return E.labelled(table(spark, sf, "events").select(F.col("user_id").alias("node"), F.col("event_type").alias("label"))).select("node", F.array_join("labels", ",").alias("labels"))
+
+
+@query(f"""WITH {VEC}, s AS (SELECT a.id, list_dot_product(a.vec, b.vec) AS score, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS y FROM v a JOIN v b ON b.id = (a.id * 13 + 1) % 500),
+r AS (SELECT y, avg(n) OVER (PARTITION BY score) AS rank FROM (SELECT y, score, row_number() OVER (ORDER BY score) AS n FROM s)) SELECT round((sum(rank) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM r""")
+def link_prediction_auc(spark, sf):
+    v = vectors(spark, sf)
+    b = v.select(F.col("id").alias("dst"), F.col("label").alias("other"))
+    tests = v.select(F.col("id").alias("src"), ((F.col("id") * 13 + 1) % 500).alias("dst"), "label").join(b, "dst").select("src", "dst", (F.col("label") == F.col("other")).cast("int").alias("y"))
+    return E.link_auc(tests, v, v).select(r6("auc").alias("auc"))
+
+
+_ENT = VEC + ", q AS (SELECT a.id AS q, a.vec AS hv, b.vec AS rv FROM v a JOIN v b ON b.id = (a.id * 7 + 3) % 500 WHERE a.id < 20), s AS (SELECT q, v.id AS entity, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k] + rv[k] - v.vec[k]))) AS score FROM q, v)"
+
+
+def _prediction_queries(spark, sf):
+    return vectors(spark, sf).where("id < 20").select(F.col("id").alias("q"), F.col("id").alias("h"), ((F.col("id") * 7 + 3) % 500).alias("r"), F.lit(None).cast("long").alias("t"))
+
+
+@query(f"WITH {_ENT}, r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, entity) AS rank, entity, score FROM s) SELECT q, CAST(rank AS INTEGER) AS rank, entity, round(score, 6) AS score FROM r WHERE rank <= 10")
+def entity_prediction_topk(spark, sf):
+    v = vectors(spark, sf)
+    return E.entity_prediction(_prediction_queries(spark, sf), "TransE", v, v, "tail", 10).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_ENT} SELECT q, q AS h, (q * 7 + 3) % 500 AS r, entity AS t FROM s")
+def one_vs_rest(spark, sf):
+    return E.one_vs_rest(_prediction_queries(spark, sf), vectors(spark, sf))
+
+
+_TRUTH = VEC + ", t AS (SELECT id AS q, id AS h, id % 5 AS r, (id * 11 + 5) % 500 AS t FROM v WHERE id < 60), known AS (SELECT id AS h, id % 5 AS r, (id * j + 5) % 500 AS t FROM v, (SELECT unnest([11, 17, 23]) AS j)), kn AS (SELECT DISTINCT h, r, t FROM known)"
+_RANK = _TRUTH + """, sc AS (SELECT q, t.h, t.r, t.t, e.id AS e, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(a.vec[k] + b.vec[k] - e.vec[k]))) AS s FROM t JOIN v a ON a.id = t.h JOIN v b ON b.id = t.r, v e),
+hc AS (SELECT q, t.h, t.r, t.t, e.id AS e, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(e.vec[k] + b.vec[k] - a.vec[k]))) AS s FROM t JOIN v a ON a.id = t.t JOIN v b ON b.id = t.r, v e),
+rk AS (SELECT x.q, 'tail' AS side, count(*) AS rank FROM sc x JOIN sc y ON y.q = x.q AND y.e = x.t WHERE x.s >= y.s AND (x.e = x.t OR NOT EXISTS (SELECT 1 FROM kn WHERE kn.h = x.h AND kn.r = x.r AND kn.t = x.e)) GROUP BY x.q
+UNION ALL SELECT x.q, 'head', count(*) FROM hc x JOIN hc y ON y.q = x.q AND y.e = x.h WHERE x.s >= y.s AND (x.e = x.h OR NOT EXISTS (SELECT 1 FROM kn WHERE kn.h = x.e AND kn.r = x.r AND kn.t = x.t)) GROUP BY x.q)"""
+
+
+def _ranks(spark, sf):
+    v = vectors(spark, sf)
+    tests = v.where("id < 60").select(F.col("id").alias("q"), F.col("id").alias("h"), (F.col("id") % 5).alias("r"), ((F.col("id") * 11 + 5) % 500).alias("t"))
+    known = v.select(F.col("id").alias("h"), (F.col("id") % 5).alias("r"), F.explode(F.array(F.lit(11), F.lit(17), F.lit(23))).alias("j")).select("h", "r", ((F.col("h") * F.col("j") + 5) % 500).alias("t"))
+    return E.filtered_ranks(tests, known, "TransE", v, v, "both")
+
+
+@query(f"WITH {_RANK} SELECT q, side, rank FROM rk")
+def filtered_ranking(spark, sf):
+    return _ranks(spark, sf)
+
+
+@query(f"WITH {_RANK} SELECT round(avg(rank), 6) AS mr, round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hits_1, round(avg((rank <= 3)::INT), 6) AS hits_3, round(avg((rank <= 10)::INT), 6) AS hits_10 FROM rk")
+def ranking_metrics(spark, sf):
+    m = E.ranking_metrics(_ranks(spark, sf))
+    return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+_CLASS = VEC + """, co AS (SELECT label, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM v WHERE label IS NOT NULL), ce AS (SELECT label, i, round(avg(x), 9) AS m FROM co GROUP BY label, i), vc AS (SELECT id, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM v WHERE label IS NOT NULL),
+sc AS (SELECT id AS node, ce.label, round(sum(x * m), 9) AS score FROM vc JOIN ce USING (i) GROUP BY id, ce.label), pr AS (SELECT node, label FROM (SELECT node, label, rank() OVER (PARTITION BY node ORDER BY score DESC) AS rk FROM sc) WHERE rk <= 1)"""
+
+
+def _class_scores(spark, sf):
+    v = vectors(spark, sf).where("label IS NOT NULL")
+    centre = v.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 9).alias("m"))
+    return v.select(F.col("id").alias("node"), F.posexplode("vec").alias("i", "x")).join(centre, "i").groupBy("node", "label").agg(F.round(F.sum(F.col("x") * F.col("m")), 9).alias("score"))
+
+
+@query(f"WITH {_CLASS} SELECT node, label FROM pr")
+def top_n_label_prediction(spark, sf):
+    return E.top_n_labels(_class_scores(spark, sf), vectors(spark, sf).where("label IS NOT NULL").select(F.col("id").alias("node"), "label"))
+
+
+@query(f"""WITH {_CLASS}, tr AS (SELECT id AS node, label FROM v WHERE label IS NOT NULL), b AS (SELECT coalesce(tr.label, pr.label) AS label, count(tr.node) AS t, count(pr.node) AS p, count(tr.node + pr.node) AS tp FROM tr FULL JOIN pr ON tr.node = pr.node AND tr.label = pr.label GROUP BY 1)
+SELECT round(avg(2.0 * tp / (t + p)), 6) AS macro_f1, round(2.0 * sum(tp) / (sum(t) + sum(p)), 6) AS micro_f1 FROM b""")
+def f1_scores(spark, sf):
+    truth = vectors(spark, sf).where("label IS NOT NULL").select(F.col("id").alias("node"), "label")
+    f = E.f1_scores(truth, E.top_n_labels(_class_scores(spark, sf), truth))
+    return f.select(*[r6(c).alias(c) for c in f.columns])
+
+
+@query()
+def node_classification(spark, sf):
+    v = vectors(spark, sf).where("label < 5")
+    return E.node_classification(v, v.select(F.col("id").alias("node"), F.col("label").cast("string").alias("label")), (0.5,), True, 1, 20)
+
+
+@query(f"WITH {VEC} SELECT b.id, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x FROM (SELECT dst AS id, i, sum(x) AS x FROM (SELECT (id * 3) % 50 AS dst, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM v) GROUP BY dst, i) b")
+def scatter_sum(spark, sf):
+    v = vectors(spark, sf).select(((F.col("id") * 3) % 50).alias("id"), "vec")
+    return E.vector_sum(v).select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", r6("x").alias("x"))
+
+
+@query(f"WITH {VEC} SELECT o.i AS ord, v.id, round(v.vec[1], 6) + 0.0 AS x FROM range(1000) o(i) JOIN v ON v.id = (o.i * 7) % 500")
+def gather_rows(spark, sf):
+    index = spark.range(1000).select(F.col("id").alias("ord"), ((F.col("id") * 7) % 500).alias("id"))
+    return E.gather(index, vectors(spark, sf).select("id", "vec")).select("ord", "id", r6(F.col("vec")[0]).alias("x"))
+
+
+_POINTS = VEC + ", p AS (SELECT id, vec[1] AS x, vec[2] AS y, vec[3] AS z, label FROM v)"
+
+
+def _points(spark, sf):
+    return viz.coordinates(vectors(spark, sf).select("id", "vec"))
+
+
+@query(f"WITH {_POINTS}, f AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy, avg(z) AS mz, stddev_pop(z) AS sz FROM p) SELECT id FROM p, f WHERE abs(x - mx) < 2 * sx AND abs(y - my) < 2 * sy AND abs(z - mz) < 2 * sz")
+def outlier_filter(spark, sf):
+    return E.within_deviations(_points(spark, sf), ["x", "y", "z"], 2.0).select("id")
+
+
+@query(f"WITH {_POINTS}, f AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy, avg(z) AS mz, stddev_pop(z) AS sz FROM p) SELECT id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, label FROM p, f WHERE abs(x - mx) < 5 * sx AND abs(y - my) < 5 * sy AND abs(z - mz) < 5 * sz")
+def scatter_points(spark, sf):
+    return viz.scatter_points(_points(spark, sf), vectors(spark, sf).select("id", "label")).select("id", *[r6(c).alias(c) for c in "xyz"], "label")
+
+
+@query(f"WITH {_POINTS}, a AS (SELECT CAST(k AS INTEGER) AS frame, radians(k * 360.0 / 12) AS a FROM range(12) t(k)) SELECT frame, id, round(x * cos(a) - y * sin(a), 6) + 0.0 AS u, round(z * cos(radians(30)) + (x * sin(a) + y * cos(a)) * sin(radians(30)), 6) + 0.0 AS v FROM p, a")
+def rotation_frames(spark, sf):
+    return viz.rotation_frames(_points(spark, sf), 12).select("frame", "id", r6("u").alias("u"), r6("v").alias("v"))
+
+
+@query("""WITH l AS (SELECT c_custkey AS id, ['WORLD', r_name, n_name] AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), f AS (SELECT path FROM l WHERE path[3] = (SELECT n_name FROM nation WHERE n_nationkey = 3) ORDER BY id LIMIT 1),
+d AS (SELECT unnest([0, 1, 2]) AS depth)
+SELECT CAST(depth AS INTEGER) AS depth, id, CASE WHEN depth = 0 OR l.path[depth] = f.path[depth] THEN l.path[depth + 1] ELSE 'else' END AS class FROM l, f, d""")
+def hierarchy_frames(spark, sf):
+    places = T.root_paths(_places(spark, sf))
+    n = table(spark, sf, "nation")
+    target = n.where("n_nationkey = 3").first()["n_name"]
+    paths = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("child")).join(places, "child").select("id", "path")
+    return viz.hierarchy_frames(paths, target)
+
+
+@query(f"WITH {EG} SELECT date_trunc('day', ts) AS start, src AS id, sum(weight) AS weight FROM eg GROUP BY 1, 2")
+def windowed_degrees_batch(spark, sf):
+    return windowed_degrees(user_items(spark, sf))

@@ -1 +1 @@
-
+"""Readers, writers and the dataset registry."""
