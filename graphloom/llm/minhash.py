@@ -28,6 +28,7 @@ _A = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 BATCH_BYTES = 1 << 21
+FILTER_BITS = 1 << 25
 _tables: dict = {}
 
 
@@ -131,9 +132,20 @@ def _sign(k: int):
     return run
 
 
-def _sets(k: int):
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    """A bit array of fixed size in which the bit of every id of (doc_id) is set: other ids mostly miss it. At most FILTER_BITS / 64 words reach the driver."""
+    pos = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(pos, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, 11), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def _sets(k: int, bits):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pos = pdf["pos"].to_numpy(np.int64)
+            pdf = pdf[(bits.value[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "hashes": [h.tobytes() for h in shingle_sets(pdf["text"], k)]})
 
     return run
@@ -176,7 +188,10 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, thresh
     near = materialize(near.mapInPandas(_agree, "u long, v long"), "minhash-near")
     salts = near.groupBy("u").agg(F.ceil(F.count("*") / F.lit(float(MEMBERS_A_SALT))).alias("salts"))
     wanted = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets(k), "doc_id long, hashes binary")
+    # Sets are made where the texts are and only those that a pair may ask for are shuffled; the bit array has a fixed size.
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    pos = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FILTER_BITS)).alias("pos")
+    sets = docs.select("doc_id", "text", pos).mapInPandas(_sets(k, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
     use = near.join(salts, "u").select("u", "v", F.pmod(F.xxhash64("v"), "salts").alias("salt"))
     own = salts.select("u", F.lit(-1).cast("long").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     rows = use.unionByName(own).withColumn("doc_id", F.when(F.col("v") < 0, F.col("u")).otherwise(F.col("v"))).join(sets, "doc_id")
