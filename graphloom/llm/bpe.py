@@ -10,20 +10,20 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import secrets
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, pack, partitions, read, unpack
+from ._common import pack, partitions, read, unpack
 
 TOKENIZER = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
 BATCH_CHARS = 1 << 21
-CHUNK_CHARS = 1 << 25
+CHUNK_CHARS = 1 << 24
 _CACHE_WORDS = 1_000_000
 L, N, O, S, END = 0, 1, 2, 3, 5
 _B = 0x5851F42D4C957F2D
@@ -138,17 +138,22 @@ class Splitter:
         return codes[back], np.bincount(kinds[owner], minlength=len(texts))
 
 
-def _chunk_rows(ids: list, codes: list[np.ndarray], sizes: list[np.ndarray], words: list[str], parts: int) -> pd.DataFrame:
-    chunk = secrets.randbits(62)
+def _chunk_rows(ids: list, codes: list[np.ndarray], sizes: list[np.ndarray], words: list[str], parts: int, place: tuple[int, int], documents: bool) -> pd.DataFrame:
+    """The documents of a chunk as codes of its words, or its words by part. A chunk is named after its place and its content."""
     codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
     n = np.bincount(codes, minlength=len(words))
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     spelled = [words[i].encode("utf-8", "surrogatepass") for i in order]
+    name = hashlib.blake2b(b"\0".join(spelled) + np.sort(n).tobytes(), digest_size=8, key=repr((place, ids)).encode()[:64])
+    chunk = int.from_bytes(name.digest(), "little") >> 2
+    if documents:
+        known = np.array([0 if i is None else int(i) for i in ids], np.int64)
+        blob = pack(known & 0xFFFFFFFF, (known >> 32) & 0xFFFFFFFF, np.array([i is None for i in ids], np.int64), np.concatenate(sizes), rank[codes] if len(codes) else codes.astype(np.int64))
+        return pd.DataFrame({"chunk": [chunk], "part": [-1], "blob": [blob]})
     where = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % parts for w in spelled], np.int64)
-    null = np.array([i is None for i in ids], np.int64)
-    rows = [(chunk, -1, pack(np.array([0 if i is None else int(i) & 0xFFFFFFFFFFFFFF for i in ids], np.int64), np.array([0 if i is None or i >= 0 else 1 for i in ids], np.int64), null, np.concatenate(sizes), rank[codes] if len(codes) else codes.astype(np.int64)))]
+    rows = []
     for p in np.unique(where):
         at = np.flatnonzero(where == p)
         own = [spelled[i] for i in at]
@@ -159,8 +164,10 @@ def _chunk_rows(ids: list, codes: list[np.ndarray], sizes: list[np.ndarray], wor
 CHUNKS = "chunk long, part int, blob binary"
 
 
-def _split(special: list[str], parts: int):
+def _split(special: list[str], parts: int, documents: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, seq = TaskContext.get().partitionId(), 0
+
         def clear():
             return [], [], [], Splitter(special), 0
 
@@ -179,10 +186,11 @@ def _split(special: list[str], parts: int):
                     sizes.append(n)
                     chars, texts, size = chars + size, [], 0
                     if chars >= CHUNK_CHARS:
-                        yield _chunk_rows(ids, codes, sizes, splitter.words, parts)
+                        yield _chunk_rows(ids, codes, sizes, splitter.words, parts, (task, seq), documents)
+                        seq += 1
                         ids, codes, sizes, splitter, chars = clear()
         if ids:
-            yield _chunk_rows(ids, codes, sizes, splitter.words, parts)
+            yield _chunk_rows(ids, codes, sizes, splitter.words, parts, (task, seq), documents)
 
     return run
 
@@ -242,7 +250,8 @@ def _join_back(path: str, whole: bool):
     """Rows sorted by (chunk, part): a chunk's codes, then the ids of its words; yields its documents."""
 
     def documents(blob: bytes, answers: list[bytes], table: list[bytes]) -> pd.DataFrame:
-        ids, negative, null, sizes, codes = unpack(blob)
+        low, high, null, sizes, codes = unpack(blob)
+        ids = low | (high << 32)
         got = [unpack(a) for a in answers]
         code = np.concatenate([np.cumsum(g[0]) for g in got] or [np.zeros(0, np.int64)])
         lens = np.concatenate([g[1] for g in got] or [np.zeros(0, np.int64)])
@@ -256,7 +265,7 @@ def _join_back(path: str, whole: bool):
         listed = flat.tolist()
         spelled = [b"".join([table[x] for x in listed[s : s + n]]) for s, n in zip(start_of.tolist(), len_of.tolist())]
         rows, at = [], 0
-        for i, neg, nul, n in zip(ids.tolist(), negative.tolist(), null.tolist(), sizes.tolist()):
+        for i, nul, n in zip(ids.tolist(), null.tolist(), sizes.tolist()):
             own = codes[at : at + n]
             at += n
             m = len_of[own]
@@ -264,7 +273,7 @@ def _join_back(path: str, whole: bool):
             where = np.repeat(start_of[own] - (np.cumsum(m) - m), m) + np.arange(total)
             tokens = flat[where]
             text = b"".join(map(spelled.__getitem__, own.tolist())).decode("utf-8", "replace").encode()
-            row = (None if nul else i - (1 << 56) if neg else i, total, hashlib.sha256(tokens.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
+            row = (None if nul else i, total, hashlib.sha256(tokens.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
             rows.append(row + ((tokens.tolist(), text.decode()) if whole else ()))
         out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if whole else 4])
         out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
@@ -294,14 +303,14 @@ def encode_decode(docs: DataFrame, path: str = TOKENIZER, whole: bool = False) -
 
     Ids are those of the tokenizers library for the file at `path` (a byte-level BPE with the usual pre-tokenizer) without adding special tokens; special
     tokens that a text spells out are found in it. Null and empty texts have no tokens. Repeated rows give a row each. The memory of a task is bounded
-    by CHUNK_CHARS and the longest text. doc_id must lie within 55 bits.
+    by CHUNK_CHARS and the longest text. Texts are split twice, once for the words and once for the codes, rather than written in between: docs must give the
+    same rows in the same order when it is read again, as files do; otherwise the join fails instead of mixing chunks up.
     """
     parts = int(min(max(partitions(docs), 8), 2048))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = materialize(plain.mapInPandas(_split(special_words(path), parts), CHUNKS), "bpe-chunks")
-    asked = chunks.where("part >= 0").repartition(parts, "part")
-    answered = asked.mapInPandas(_encode(path), CHUNKS)
-    rows = chunks.where("part < 0").unionByName(answered).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    words, coded = (plain.mapInPandas(_split(special_words(path), parts, documents), CHUNKS) for documents in (False, True))
+    answered = words.repartition(parts, "part").mapInPandas(_encode(path), CHUNKS)
+    rows = coded.unionByName(answered).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
     return rows.mapInPandas(_join_back(path, whole), schema)
 
