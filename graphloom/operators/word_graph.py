@@ -25,15 +25,19 @@ def word_pairs(corpus: DataFrame, window: int = 5, min_count: int = 5) -> DataFr
     return pairs.groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs and their reverse in one pass, so that they are counted once."""
+    back = F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "n")
+    return pairs.select(F.inline(F.array(F.struct("u", "v", "n"), back)))
+
+
 def word_graph(corpus: DataFrame, window: int = 5, min_count: int = 5) -> DataFrame:
     """(src, dst, weight): symmetric co-occurrence; a word next to itself counts twice."""
     pairs = word_pairs(corpus, window, min_count)
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"))
-    return both.groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.sum("n").cast("double").alias("weight"))
+    return _both_ways(pairs).groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.sum("n").cast("double").alias("weight"))
 
 
 def word_occurrences(corpus: DataFrame, window: int = 5, min_count: int = 5) -> DataFrame:
     """(src, dst, weight): an entry for each occurrence and direction, not merged."""
     pairs = word_pairs(corpus, window, min_count)
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"))
-    return both.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.explode(F.array_repeat(F.lit(1.0), F.col("n").cast("int"))).alias("weight"))
+    return _both_ways(pairs).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.explode(F.array_repeat(F.lit(1.0), F.col("n").cast("int"))).alias("weight"))

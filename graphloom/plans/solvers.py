@@ -57,19 +57,24 @@ class Solver:
         self.batch_id = 0
 
     # -- build --------------------------------------------------------------------------------------------------------
-    def build(self, graph: "object", optimizer=None, num_partition="auto", num_negative="auto", batch_size: int = 100_000, episode_size="auto", minibatch: int = 256):
-        """Fix parameters and deal vertices to parts. graph has edges, weights (id, weight), num_vertex and num_edge."""
+    def build(self, graph: "object", optimizer=None, num_partition="auto", num_negative="auto", batch_size: int = 100_000, episode_size="auto", minibatch="auto"):
+        """Fix parameters and deal vertices to parts. graph has edges, weights (id, weight), num_vertex and num_edge.
+
+        Samples of a minibatch step together and their steps for one row add up, so a minibatch should touch a row a few times at most: by default it
+        grows with the vertices a worker holds.
+        """
         self.graph = graph
         self.optimizer = Optimizer.make(optimizer, self.default_optimizer)
         self.num_negative = self.default_negative if num_negative in (None, "auto") else int(num_negative)
-        if self.num_negative < 1 or batch_size < 1 or minibatch < 1:
+        if self.num_negative < 1 or batch_size < 1 or (minibatch not in (None, "auto") and minibatch < 1):
             raise ValueError("num_negative, batch_size and minibatch must be positive")
         row = 8 * self.dim * (1 + self.optimizer.n_moments)
         need = max(1, math.ceil(graph.num_vertex * row / PART_BYTES))
         self.num_partition = max(need, 1) if num_partition in (None, "auto") else int(num_partition)
         if self.num_partition < 1:
             raise ValueError("num_partition must be positive")
-        self.batch_size, self.minibatch = batch_size, minibatch
+        held = graph.num_vertex // self.num_partition
+        self.batch_size, self.minibatch = batch_size, int(np.clip(held // 2, 16, 1024)) if minibatch in (None, "auto") else int(minibatch)
         self.episode_size = max(1, min(100, math.ceil(graph.num_edge / batch_size))) if episode_size in (None, "auto") else int(episode_size)
         self.parts = settle(G.zigzag_partition(graph.weights, self.num_partition)) if self.num_partition > 1 else graph.weights.withColumn("part", F.lit(0))
         self.state, self.batch_id, self.history = None, 0, []

@@ -34,7 +34,7 @@ def save_word_vectors(embeddings: DataFrame, names: DataFrame, path: str) -> Non
     """Lines `name x1 x2 ...`; a file `header` beside them holds the number of rows and the dimension."""
     rows = embeddings.join(names, "id").select("name", F.col("vec").cast("array<double>").alias("vec"))
     facts = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
-    rows.select(F.concat_ws(" ", "name", F.array_join(F.transform("vec", lambda x: F.format_string("%g", x)), " ")).alias("value")).write.text(path)
+    rows.select(F.concat_ws(" ", "name", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("value")).write.text(path)
     spark = embeddings.sparkSession
     spark.createDataFrame([(f"{facts[0]} {facts[1] or 0}",)], "value string").coalesce(1).write.text(os.path.join(path, "header"))
 
@@ -64,7 +64,7 @@ def save_predictions(predictions: DataFrame, entities: DataFrame, path: str) ->
     """Lines of `name: score`, tab-joined, best first, a line a query in the order of q (.txt), or the rows as Parquet."""
     named = predictions.join(entities.select(F.col("id").alias("entity"), "name"), "entity")
     if path.endswith(".txt"):
-        row = F.sort_array(F.collect_list(F.struct("rank", F.concat("name", F.lit(": "), F.format_string("%g", "score")).alias("s"))))
+        row = F.sort_array(F.collect_list(F.struct("rank", F.concat("name", F.lit(": "), F.col("score").cast("float").cast("string")).alias("s"))))
         named.groupBy("q").agg(row.alias("r")).orderBy("q").select(F.array_join(F.transform("r", lambda x: x["s"]), "\t").alias("value")).write.text(path)
     elif path.endswith(".parquet"):
         named.select("q", "rank", "name", "score").write.parquet(path)
