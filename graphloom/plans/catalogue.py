@@ -676,6 +676,6 @@ def hierarchy_frames(spark, sf):
     return viz.hierarchy_frames(paths, target)
 
 
-@query(f"WITH {EG} SELECT date_trunc('day', ts) AS start, src AS id, sum(weight) AS weight FROM eg GROUP BY 1, 2")
+@query(f"WITH {EG} SELECT strftime(ts, '%Y-%m-%d') AS day, src AS id, sum(weight) AS weight FROM eg GROUP BY 1, 2")
 def windowed_degrees_batch(spark, sf):
-    return windowed_degrees(user_items(spark, sf))
+    return windowed_degrees(user_items(spark, sf)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "id", "weight")
