@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import monitor
 from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import viz as V
@@ -43,15 +44,18 @@ class ApplicationBase:
     def set_format(self, delimiters: str = " \t\r\n", comment: str = "#") -> None:
         self.format = T.TextFormat(delimiters, comment)
 
+    @monitor.time
     def build(self, **kwargs):
         self.solver = self.solver_class(self.spark, self.dim, self.seed).build(self.graph, **kwargs)
 
+    @monitor.time
     def train(self, **kwargs):
         history = self.solver.train(**kwargs)
         for batch, loss in history:
             log.info("batch %d, loss %g", batch, loss)
         return history
 
+    @monitor.time
     def evaluate(self, task: str, **kwargs):
         """Run an evaluation by name; a dict of metrics is logged in order."""
         f = getattr(self, task.replace(" ", "_"), None)

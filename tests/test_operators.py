@@ -1,11 +1,13 @@
 """Properties of operators that SQL doesn't tell."""
 
+import logging
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import monitor
 from graphloom.functions.numeric import auto_augmentation_step, draw, draw_numpy
 from graphloom.functions.optim import Optimizer
 from graphloom.functions.scores import COLUMN_SCORES, MODELS, score_columns
@@ -244,3 +246,10 @@ def test_labels_lift_to_the_root(spark):
     assert {r.label for r in T.readable_labels(labels, parents).collect()} == {"root"}
     with pytest.raises(ValueError):
         viz.hierarchy_frames(T.readable_labels(labels, parents, True), "nowhere")
+
+
+def test_monitor(caplog):
+    with caplog.at_level(logging.INFO, "graphloom"):
+        assert monitor.time(monitor.call(monitor.result(lambda x, y=1: x + y)))(2, y=3) == 5
+    text = caplog.text
+    assert "= 5" in text and "(2, y=3)" in text and " s" in text
