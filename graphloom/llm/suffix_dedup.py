@@ -25,8 +25,8 @@ MATCH = 50
 K = 24
 BEFORE = MATCH - K
 KEY = MATCH + BEFORE + 2
-BATCH_BYTES = 1 << 21
-RUN_BYTES = 1 << 25
+BATCH_BYTES = 1 << 20
+RUN_BYTES = 1 << 23
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -69,7 +69,7 @@ def _find_anchors(parts: int):
     """(part, blob): the anchors of a run of documents by hash range, sorted: hash steps, document, position, and the documents."""
 
     def flush(ids: list, chunks: list, found: list) -> pd.DataFrame:
-        h = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)]) >> np.uint64(16)
+        h = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)])
         doc, pos = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (1, 2))
         order = np.argsort(h, kind="stable")
         h, doc, pos = h[order].astype(np.int64), doc[order], pos[order]
@@ -99,7 +99,8 @@ def _find_anchors(parts: int):
                     ends = np.cumsum([len(r) for r in raws])
                     at, h = anchors(b"".join(raws), ends)
                     own = np.searchsorted(ends, at, side="right")
-                    found.append((h, own + first, at - (ends[own] - np.array([len(raws[j]) for j in own], np.int64)) if len(at) else at))
+                    begin = ends - np.array([len(r) for r in raws], np.int64)
+                    found.append((h >> np.uint64(16), (own + first).astype(np.int32), at - begin[own]))
                     size, raws, first, wide = size + wide, [], len(ids), 0
                     if size >= RUN_BYTES:
                         yield flush(ids, chunks, found)
@@ -395,7 +396,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, chunk_factor: int = 4) ->
     rows with the same doc_id don't count as each other's smaller document. Texts under MATCH bytes stay. Documents are hashed into chunks of bounded size, and a chunk's texts are shuffled once.
     """
     splits = partitions(docs)
-    parts = int(min(max(splits, 8), 4096))
+    parts = int(min(max(2 * splits, 8), 4096))
     chunks = int(max(8, splits * chunk_factor))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = plain.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)), F.lit(0)).cast("long"))
