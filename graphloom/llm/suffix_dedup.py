@@ -100,7 +100,8 @@ def _find_anchors(parts: int):
                     at, h = anchors(b"".join(raws), ends)
                     own = np.searchsorted(ends, at, side="right")
                     begin = ends - np.array([len(r) for r in raws], np.int64)
-                    found.append((h >> np.uint64(16), (own + first).astype(np.int32), at - begin[own]))
+                    # Anchors are minima, so their hashes crowd at the low end: an odd factor spreads them over the ranges.
+                    found.append(((h * _M2) >> np.uint64(16), (own + first).astype(np.int32), at - begin[own]))
                     size, raws, first, wide = size + wide, [], len(ids), 0
                     if size >= RUN_BYTES:
                         yield flush(ids, chunks, found)
