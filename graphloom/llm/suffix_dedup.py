@@ -74,15 +74,15 @@ def _find_anchors(parts: int):
         order = np.argsort(h, kind="stable")
         h, doc, pos = h[order].astype(np.int64), doc[order], pos[order]
         part = (h * parts) >> 48 if parts < (1 << 15) else h % parts
-        cut = np.searchsorted(part, np.arange(parts + 1))
+        order = np.argsort(part, kind="stable")  # in order already where ranges are cut from the hash itself
+        h, doc, pos, part = h[order], doc[order], pos[order], part[order]
         rows = []
         all_ids, all_chunks = np.array(ids, np.int64), np.array(chunks, np.int64)
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if a < b:
-                used, local = np.unique(doc[a:b], return_inverse=True)
-                named = all_ids[used]
-                rows.append((p, pack(np.diff(h[a:b], prepend=0), local, pos[a:b], named & 0xFFFFFFFF, (named >> 32) & 0xFFFFFFFF, all_chunks[used])))
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
+            used, local = np.unique(doc[a:b], return_inverse=True)
+            named = all_ids[used]
+            rows.append((int(part[a]), pack(np.diff(h[a:b], prepend=0), local, pos[a:b], named & 0xFFFFFFFF, (named >> 32) & 0xFFFFFFFF, all_chunks[used])))
         return pd.DataFrame(rows, columns=["part", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -397,7 +397,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, chunk_factor: int = 4) ->
     rows with the same doc_id don't count as each other's smaller document. Texts under MATCH bytes stay. Documents are hashed into chunks of bounded size, and a chunk's texts are shuffled once.
     """
     splits = partitions(docs)
-    parts = int(min(max(2 * splits, 8), 4096))
+    parts = int(min(max(2 * splits, 8), 1 << 20))
     chunks = int(max(8, splits * chunk_factor))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = plain.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)), F.lit(0)).cast("long"))
