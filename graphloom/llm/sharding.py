@@ -1,9 +1,9 @@
 """Sharding by vector bin packing (operator 1).
 
-Items are groups of equal texts with the vector (bytes, tokens, rows); a group is placed in the bin where the dot
-product of its share with the residual capacity is highest. Items are hashed into parts of bounded size,
-every part packs its own items into as many bins as there are shards, and the bins of the parts meet in a
-reduction tree by the same rule, so neither a task nor the driver holds all groups.
+Items are groups of equal texts with the vector (bytes, tokens, rows); an item is placed in the shard where the dot product of its share with
+the residual capacity is highest. The few groups that fill a good part of a shard are placed first, all together: their number is bounded.
+All others are hashed into parts of bounded size, and every part packs its own items into its portion of
+what is left of each shard, so neither a task nor the driver holds all groups.
 """
 
 from __future__ import annotations
@@ -17,15 +17,20 @@ from ._common import discard, materialize, n_words, read
 
 DIMS = ("bytes", "tokens", "rows")
 PART_ITEMS = 50_000
-FAN_IN = 64
-HOT = 4
+BIG = 4
+CUT_ROWS = 1000
 
 
-def place(items: np.ndarray, n_bins: int) -> np.ndarray:
-    """Bin of each row of items (n x dims): largest first, each where its dot product with the residual capacity is highest."""
-    total = items.sum(0)
-    share = items / np.where(total > 0, total, 1) * n_bins
-    residual = np.ones((n_bins, items.shape[1]))
+def place(items: np.ndarray, room: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """Shard of each row of items (n x dims): largest first, each where its dot product with the residual capacity is highest.
+
+    room (shards x dims) is what each shard has left; it is scaled to the total, which is the sum of the items if these fill it all.
+    """
+    total = items.sum(0) if total is None else total
+    n = len(room)
+    share = items / np.where(total > 0, total, 1) * n
+    residual = np.maximum(room, 0)
+    residual = residual / np.where(residual.sum(0) > 0, residual.sum(0), 1) * n
     out = np.empty(len(items), np.int32)
     for i in np.argsort(-share.max(1), kind="stable"):
         b = int(np.argmax(residual @ share[i]))
@@ -34,41 +39,22 @@ def place(items: np.ndarray, n_bins: int) -> np.ndarray:
     return out
 
 
-def _pack(n_shards: int):
+def _pack(room: np.ndarray):
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "chunk"], kind="stable")
-        return pdf.assign(bin=place(pdf[list(DIMS)].to_numpy(float), n_shards))
-
-    return go
-
-
-def _merge(n_shards: int):
-    """Bins of several parts onto one set of bins, one to one for each part."""
-
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "bin"])
-        loads = pdf[list(DIMS)].to_numpy(float)
-        total = loads.sum(0)
-        share = loads / np.where(total > 0, total, 1) * n_shards
-        residual, out = np.ones((n_shards, len(DIMS))), np.empty(len(pdf), np.int32)
-        for _, at in pdf.reset_index(drop=True).groupby("part").indices.items():
-            free = np.ones(n_shards, bool)
-            for i in at[np.argsort(-share[at].max(1), kind="stable")]:
-                b = int(np.argmax(np.where(free, residual @ share[i], -np.inf)))
-                out[i], free[b] = b, False
-                residual[b] -= share[i]
-        return pdf.assign(new_bin=out)
+        return pdf.assign(shard=place(pdf[list(DIMS)].to_numpy(float), room))
 
     return go
 
 
-def shard(docs: DataFrame, n_shards: int = 40, part_items: int = PART_ITEMS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, part_items: int = PART_ITEMS, cut_rows: int = CUT_ROWS) -> DataFrame:
     """Shard and slot of every document, balancing bytes, tokens and rows.
 
     docs: doc_id, text. Returns doc_id, size (UTF-8 bytes plus 16), text_crc32, tokens, shard and slot. Equal texts go to one shard;
-    only a group that alone fills more than a quarter of a shard is cut into chunks by a hash of
+    only a group of over cut_rows rows that is larger than a whole shard is cut into chunks, of a quarter of a shard, by a hash of
     doc_id. Null text counts as empty. Repeated rows are placed each; an empty table gives an empty table.
     """
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     sized = materialize(
         docs.select(
@@ -80,31 +66,26 @@ def shard(docs: DataFrame, n_shards: int = 40, part_items: int = PART_ITEMS) ->
     vector = (F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     total = sized.agg(*vector).first()
     groups = sized.groupBy("key").agg(*vector)
-    part_of_shard = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1))) for c in DIMS]) * F.lit(float(n_shards * HOT))
-    # At most 3 * HOT * n_shards groups can each hold more than 1 / (HOT * n_shards) of one of three totals: a bounded broadcast.
-    hot = groups.where(part_of_shard > 1).select("key", F.ceil(part_of_shard).alias("chunks"))
-    cut = sized.join(F.broadcast(hot), "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("chunks")), F.lit(0)).cast("int")).drop("chunks")
-    items = cut.groupBy("key", "chunk").agg(*vector)
+    of_shard = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1))) for c in DIMS]) * F.lit(float(n_shards))
+    # Each of these groups holds over 1 / (BIG * n_shards) of one of three totals: at most 3 * BIG * n_shards of them, a bounded broadcast.
+    big = groups.where(of_shard > 1 / BIG).select("key", F.when((of_shard > 1) & (F.col("rows") > cut_rows), F.ceil(of_shard * BIG)).otherwise(1).alias("chunks"))
+    chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(0).cast("int").alias("chunk")
+    cut = sized.join(F.broadcast(big), "key", "left").select("*", chunk)
+    items = materialize(cut.groupBy("key", "chunk").agg(*vector, F.max(F.col("chunks").isNotNull()).alias("first")), "shard-items")
+    early = items.where("first").toPandas().sort_values(["key", "chunk"])  # at most twice as many rows as there are big groups plus BIG * n_shards * 3
+    capacity = np.array([[(total[c] or 0) / n_shards for c in DIMS]] * n_shards)
+    early["shard"] = place(early[list(DIMS)].to_numpy(float), capacity, np.array([float(total[c] or 0) for c in DIMS])) if len(early) else np.zeros(0, np.int32)
+    room = capacity.copy()
+    np.subtract.at(room, early["shard"].to_numpy(int), early[list(DIMS)].to_numpy(float))
     n_items = total["rows"]
     parts = max(1, -(-n_items // part_items))
-    items = items.withColumn("part", F.pmod(F.xxhash64("key", "chunk"), F.lit(parts))).withColumn("bin", F.lit(0))
-    packed = materialize(items.groupBy("part").applyInPandas(_pack(n_shards), items.schema), "shard-packed")
-
-    loads = packed.groupBy("part", "bin").agg(*[F.sum(c).alias(c) for c in DIMS])
-    way = None
-    while True:
-        loads = loads.withColumn("up", F.floor(F.col("part") / FAN_IN)).withColumn("new_bin", F.lit(0))
-        merged = materialize(loads.groupBy("up").applyInPandas(_merge(n_shards), loads.schema), "shard-merge")
-        step = merged.select("part", "bin", "up", "new_bin")
-        way = step if way is None else way.join(step.withColumnsRenamed({"part": "up", "bin": "new_bin", "up": "up2", "new_bin": "bin2"}), ["up", "new_bin"]).select("part", "bin", F.col("up2").alias("up"), F.col("bin2").alias("new_bin"))
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            break
-        loads = merged.groupBy(F.col("up").alias("part"), F.col("new_bin").alias("bin")).agg(*[F.sum(c).alias(c) for c in DIMS])
-    placed = packed.join(way, ["part", "bin"]).select("key", "chunk", F.col("new_bin").cast("int").alias("shard"))
+    late = items.where("NOT first").withColumn("part", F.pmod(F.xxhash64("key", "chunk"), F.lit(parts))).withColumn("shard", F.lit(0))
+    placed = late.groupBy("part").applyInPandas(_pack(room), late.schema).select("key", "chunk", "shard")
+    known = spark.createDataFrame([(bytes(k), int(c), int(z)) for k, c, z in zip(early["key"], early["chunk"], early["shard"])], "key binary, chunk int, shard int")
+    placed = placed.unionByName(known)
     rows = materialize(cut.join(placed, ["key", "chunk"]).select("doc_id", "size", "text_crc32", "tokens", "shard", "__row"), "shard-rows")
     discard(sized)
-    discard(packed)
+    discard(items)
     return _slots(rows, max(1, -(-n_items // (n_shards * 200_000))))
 
 
