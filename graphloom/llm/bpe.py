@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import pack, partitions, read, unpack
 
 TOKENIZER = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 CHUNK_CHARS = 1 << 24
 _CACHE_WORDS = 1_000_000
 L, N, O, S, END = 0, 1, 2, 3, 5

@@ -99,7 +99,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
             ids, n = bags[i]
             lr = rate * (1 - step / steps)
             step += 1
-            weight = (n / n.sum()).astype(np.float32)
+            weight = (n / n.sum(dtype=np.int64)).astype(np.float32)
             rows = table[ids]
             mean = weight @ rows
             z = layer @ mean + bias
@@ -204,14 +204,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [bag(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "ids": [a.astype("<i4").tobytes() for a, _ in made], "n": [b.astype("<i4").tobytes() for _, b in made]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "ids": [a.astype("<i4").tobytes() for a, _ in made], "n": [np.minimum(b, 65535).astype("<u2").tobytes() for _, b in made]})
 
     got = rows.mapInPandas(bags, "doc_id long, y int, ids binary, n binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(got):
         return Model(np.zeros(BUCKETS), 0.0)
-    made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
+    made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<u2")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
+    del got
     model = Model(*fit(made, y))
-    logits = np.array([(n @ model.score[ids]) / n.sum() + model.bias for ids, n in made])
+    logits = np.array([(n.astype(float) @ model.score[ids]) / n.sum(dtype=np.int64) + model.bias for ids, n in made])
     if 0 < y.sum() < len(y):
         model.scale, model.shift = calibrate(logits, y, share)
     return model
