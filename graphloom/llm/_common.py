@@ -57,6 +57,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def flagged(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, __null, text, ...): ids as long with nulls as 0 and a flag, as pandas would turn a column with nulls into floats and round large ids."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("__null"), "text", *more)
+
+
+def unflagged(rows: DataFrame) -> DataFrame:
+    """rows with the nulls that flagged() took out of doc_id."""
+    return rows.withColumn("doc_id", F.when(~F.col("__null"), F.col("doc_id"))).drop("__null")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,9 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ._common import pack, partitions, read, unpack
+from ._common import flagged, pack, partitions, read, unpack
 
 TOKENIZER = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
 BATCH_CHARS = 1 << 20
@@ -175,7 +174,7 @@ def _split(special: list[str], parts: int, documents: bool):
         for pdf in batches:
             texts: list[str] = []
             size = 0
-            rows = list(zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["text"]))
+            rows = [(None if null else i, t) for i, null, t in zip(pdf["doc_id"].tolist(), pdf["__null"].tolist(), pdf["text"])]
             for k, (i, t) in enumerate(rows):
                 ids.append(i)
                 texts.append(t or "")
@@ -276,7 +275,7 @@ def _join_back(path: str, whole: bool):
             row = (None if nul else i, total, hashlib.sha256(tokens.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
             rows.append(row + ((tokens.tolist(), text.decode()) if whole else ()))
         out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if whole else 4])
-        out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
+        out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +306,7 @@ def encode_decode(docs: DataFrame, path: str = TOKENIZER, whole: bool = False) -
     same rows in the same order when it is read again, as files do; otherwise the join fails instead of mixing chunks up.
     """
     parts = int(min(max(partitions(docs), 8), 2048))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = flagged(docs)
     words, coded = (plain.mapInPandas(_split(special_words(path), parts, documents), CHUNKS) for documents in (False, True))
     answered = words.repartition(parts, "part").mapInPandas(_encode(path), CHUNKS)
     rows = coded.unionByName(answered).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")

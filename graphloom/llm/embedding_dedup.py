@@ -192,7 +192,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
         return nothing
     base = base.withColumn("vec", F.when(F.size("vec") == dim["d"], F.col("vec")))
     keyed = base.withColumn("h1", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))).withColumn("h2", F.when(F.col("vec").isNotNull(), F.xxhash64(F.reverse("vec"), F.lit(1))))
-    classes = keyed.where("vec IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("vec").alias("vec"))
+    classes = keyed.where("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("vec").alias("vec"))
     classes = materialize(classes, "embed-classes")
     n = classes.count()
     sample = classes.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
@@ -229,7 +229,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
     of_class = of_class.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = keyed.select("vec_id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def _columns(grid):

@@ -12,9 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import flagged, read, unflagged
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -191,9 +190,10 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                 out[c] = pd.array(out[c], dtype="Int64")
             out["spans"] = [[dict(zip(("label", "first_word", "last_word", "cover"), s)) for s in r] for r in out["spans"]]
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out["__null"] = pdf["__null"].to_numpy()
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return unflagged(flagged(docs).mapInPandas(run, f"{SCHEMA}, __null boolean"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

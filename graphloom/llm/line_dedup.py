@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def delete_runs(text: str | None, starts, lens) -> tuple[str | None, int, int]:
 
 def later_windows(docs: DataFrame, w: int = WINDOW, long_line: int = LONG_LINE, order_col: str = "doc_id") -> DataFrame:
     """(doc, starts, lens): the windows of every document that have an earlier place, by (doc_id, line)."""
-    plain = docs.select(F.col(order_col).cast("long").alias("__row"), "text")
+    plain = docs.where(F.col(order_col).isNotNull()).select(F.col(order_col).cast("long").alias("__row"), "text")
     repeated = plain.select("text").mapInPandas(_fingerprints(w, long_line), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     every = plain.mapInPandas(_windows(w, long_line), "__row long, start long, len long, win long, fp long")
     # Windows without a repeated fingerprint can't repeat: they go before anything is sorted.
@@ -121,7 +122,7 @@ def line_dedup(docs: DataFrame, w: int = WINDOW, long_line: int = LONG_LINE) ->
     """docs with the text without later repeated runs, and n_lines, n_removed, n_runs (long).
 
     Lines are split at line feeds and compared without outer white space; blank lines are neither compared nor deleted. A run of at least w lines, or
-    a line of at least long_line words, is kept at its first place (smallest doc_id, then line) and deleted at later ones, also within one document. Null and empty texts stay as they are. Rows with the same doc_id are treated as copies of one document: what is deleted
+    a line of at least long_line words, is kept at its first place (smallest doc_id, then line) and deleted at later ones, also within one document. Null and empty texts stay as they are, and so do rows without doc_id, which aren't compared. Rows with the same doc_id are treated as copies of one document: what is deleted
     in one is deleted in all. Extra columns stay, whatever their names.
     """
     later = later_windows(docs, w, long_line).select(F.col("__row").alias("__doc"), F.col("w.start").alias("__starts"), F.col("w.len").alias("__lens"))
@@ -129,17 +130,15 @@ def line_dedup(docs: DataFrame, w: int = WINDOW, long_line: int = LONG_LINE) ->
     added = {"n_lines": "long", "n_removed": "long", "n_runs": "long"}
     base = [c for c in docs.columns if c not in added]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [delete_runs(t, s if s is not None else (), n if n is not None else ()) for t, s, n in zip(pdf["text"], pdf["__starts"], pdf["__lens"])]
-            n_lines = [t.count("\n") + 1 if t else 0 for t in pdf["text"]]
-            out = pdf[base].copy()
-            out["text"] = [m[0] for m in made]
-            out["n_lines"], out["n_removed"], out["n_runs"] = n_lines, [m[1] for m in made], [m[2] for m in made]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, starts, lens = (batch.column(c).to_pylist() for c in ("text", "__starts", "__lens"))
+            made = [delete_runs(t, s or (), n or ()) for t, s, n in zip(texts, starts, lens)]
+            new = {"text": pa.array([m[0] for m in made], pa.string()), "n_lines": [t.count("\n") + 1 if t else 0 for t in texts], "n_removed": [m[1] for m in made], "n_runs": [m[2] for m in made]}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in base} | {k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in new.items()})
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in base] + [f"{k} {v}" for k, v in added.items()])
-    return joined.select(*base, "__starts", "__lens").mapInPandas(run, schema)
+    return joined.select(*base, "__starts", "__lens").mapInArrow(run, schema)
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -125,8 +125,8 @@ def mix(docs: DataFrame, cap: float = CAP, seed: int = 17, bucket_rows: int = BU
 
 def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed corpus: every row of docs as often as mix() says. Rows are told apart by doc_id; rows that share one share its largest count."""
-    copies = mix(docs, seed=seed).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    return docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = mix(docs, seed=seed).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import flagged, read, unflagged
 
 BUCKETS = 1 << 18
 DIM = 16
@@ -226,21 +227,21 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         m = sent.value
         for pdf in batches:
             s = m.batches(pdf["text"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32), "__null": pdf["__null"]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = flagged(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    return unflagged(rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, __null boolean"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs whose text the classifier accepts, all columns as they were."""
+    """Rows of docs whose text the classifier accepts, all columns as they were (rows travel as Arrow, so nothing is converted)."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for pdf in batches:
-            yield pdf[m.batches(pdf["text"]) >= threshold]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.batches(batch.column("text").to_pylist()) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,6 @@ def _keep_repeated(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
     """The documents of a chunk in a fixed order, so that a row number means the same row each time."""
-    pdf = pdf[pdf["doc_id"].notna()]
     return pdf.assign(text=pdf["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
 
 
@@ -369,11 +368,10 @@ def _cut_out(texts: bool):
         order = np.argsort(row, kind="stable")
         row, start, wide = row[order], start[order], wide[order]
         cut = np.searchsorted(row, np.arange(len(base) + 1))
-        nulls = docs[docs["doc_id"].isna()]
-        for k, (i, t) in enumerate([*zip(base["doc_id"].tolist(), base["text"]), *((None, t) for t in nulls["text"])]):
+        for k, (i, t) in enumerate(zip(base["doc_id"].tolist(), base["text"])):
             raw = t.encode("utf-8", "surrogatepass") if t else b""
             n, removed, spans, kept = len(raw), 0, 0, raw
-            a, b = (cut[k], cut[k + 1]) if k < len(base) else (0, 0)
+            a, b = cut[k], cut[k + 1]
             if a < b:
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, start[a:b], 1)
@@ -383,9 +381,7 @@ def _cut_out(texts: bool):
                 spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             rows.append((i, n, removed, spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if texts else ()))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5])
-        out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-        return out
+        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5])
 
     return run
 
@@ -399,14 +395,16 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, chunk_factor: int = 4) ->
     splits = partitions(docs)
     parts = int(min(max(2 * splits, 8), 1 << 20))
     chunks = int(max(8, splits * chunk_factor))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    plain = plain.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)), F.lit(0)).cast("long"))
-    found = plain.where("doc_id IS NOT NULL").mapInPandas(_find_anchors(parts), "part int, blob binary")
+    plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).cast("long").alias("chunk"))
+    found = plain.mapInPandas(_find_anchors(parts), "part int, blob binary")
     repeated = found.groupBy("part").applyInPandas(_keep_repeated, "chunk long, blob binary")
     runs = plain.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInPandas(_sorted_runs(parts), "part int, chunk long, blob binary")
     ranges = runs.groupBy("part").applyInPandas(_merge, "chunk long, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return plain.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInPandas(_cut_out(texts), schema)
+    out = plain.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInPandas(_cut_out(texts), schema)
+    raw, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    rest = [F.lit(None).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256")]
+    return out.unionByName(docs.where("doc_id IS NULL").select(*rest, *([raw.cast("binary").alias("kept")] if texts else [])))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

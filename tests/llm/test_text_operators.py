@@ -411,3 +411,24 @@ def test_mixing_of_odd_tables(empty, clashing, docs, rows):
     assert mixing.mix(clashing).count() == len(rows)
     assert mixing.apply_mix(docs).columns == docs.columns
     assert mixing.apply_mix(clashing).columns == clashing.columns
+
+
+# --- documents without an id --------------------------------------------------------------------------------------------
+
+
+def test_documents_without_id(spark):
+    t = "\n".join(f"line {i} of a text that is long enough to matter" for i in range(8))
+    rows = [(2**60 + 1, t, "a"), (None, t, "a"), (None, "alone here with words", None), (7, None, None), (None, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    assert sharding.shard(docs, 2).count() == 5
+    assert licenses.scan_licenses(docs).count() == 5
+    got = {(r.doc_id, r.n_removed) for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {(2**60 + 1, 0), (None, 0), (7, 0)}
+    near = {(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert near == {(2**60 + 1, True, 2**60 + 1, True), (None, True, 2**60 + 1, False), (None, True, None, True), (7, False, 7, True), (None, False, None, True)}
+    assert minhash.drop_near_duplicates(docs).count() == 5
+    assert {r.doc_id for r in bpe.encode_decode(docs).collect()} == {2**60 + 1, None, 7}
+    assert mixing.mix(docs).count() == 5 and mixing.apply_mix(docs).columns == docs.columns
+    assert suffix_dedup.suffix_dedup(docs).count() == 5
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score_quality(docs, quality.learn(docs, labels)).count() == 5
