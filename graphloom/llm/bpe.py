@@ -8,6 +8,7 @@ codes by position. Decoding joins ids to the pieces of the vocabulary, a table o
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import json
 import os
 import unicodedata
@@ -20,7 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import flagged, pack, partitions, read, unpack
 
-TOKENIZER = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+
+def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary lies: as the package public_tokenizers says, or in /opt/tokenizers."""
+    if importlib.util.find_spec("public_tokenizers") is not None:
+        import public_tokenizers
+
+        return str(public_tokenizers.path(name))
+    return os.path.join("/opt/tokenizers", name)
+
+
+TOKENIZER = vocabulary_file()
 BATCH_CHARS = 1 << 20
 CHUNK_CHARS = 1 << 24
 _CACHE_WORDS = 1_000_000
