@@ -3,7 +3,7 @@
 The lines of a document are hashed, and of every window of lines the line with the smallest hash is chosen as a fingerprint,
 so two documents that share a window share a fingerprint in it. Fingerprints that occur once are dropped; the others are extended
 both ways to the windows around them. The first place of a window keeps its lines; at every later place they are deleted, so
-maximal repeated runs disappear where they repeat. A line of many words is a window of its own.
+maximal repeated runs disappear where they repeat. Fewer lines that hold many words are a window, too.
 """
 
 from __future__ import annotations
@@ -49,13 +49,19 @@ def _window_hash(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def windows(h: np.ndarray, words: np.ndarray, w: int, long_line: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, hash, fingerprint) of all windows: w lines on end, with the smallest hash among them, and long lines by themselves."""
-    out = []
-    if len(h) >= w:
-        low = np.lib.stride_tricks.sliding_window_view(h, w).min(1)
-        out += [(i, w, x, f) for i, (x, f) in enumerate(zip(_window_hash(h, w).tolist(), low.tolist()))]
-    long_ = np.flatnonzero(words >= long_line)
-    out += [(i, 1, x, x) for i, x in zip(long_.tolist(), _window_hash(h[long_], 1).tolist())]
+    """(start, length, hash, fingerprint) of all windows, the fingerprint being the smallest hash among the lines.
+
+    Windows are w lines on end, and the shortest runs of fewer lines that hold long_line words: those that fall below it without their first or last line.
+    """
+    out, least = [], max(1, long_line)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    for n in range(1, min(w, len(h)) + 1):
+        at = np.arange(len(h) - n + 1)
+        if n < w:
+            total = upto[n:] - upto[:-n]
+            at = at[(total >= least) & (total - words[: len(at)] < least) & (total - words[n - 1 :] < least)]
+        low = np.lib.stride_tricks.sliding_window_view(h, n)[at].min(1)
+        out += [(i, n, x, f) for i, x, f in zip(at.tolist(), _window_hash(h, n)[at].tolist(), low.tolist())]
     return out
 
 
@@ -122,7 +128,8 @@ def line_dedup(docs: DataFrame, w: int = WINDOW, long_line: int = LONG_LINE) ->
     """docs with the text without later repeated runs, and n_lines, n_removed, n_runs (long).
 
     Lines are split at line feeds and compared without outer white space; blank lines are neither compared nor deleted. A run of at least w lines, or
-    a line of at least long_line words, is kept at its first place (smallest doc_id, then line) and deleted at later ones, also within one document. Null and empty texts stay as they are, and so do rows without doc_id, which aren't compared. Rows with the same doc_id are treated as copies of one document: what is deleted
+    the shortest run of fewer lines with at least long_line words, is kept at its first place (smallest doc_id, then line) and deleted at later ones, also within one
+    document, so no repeated run of that many lines or words stays whole. Null and empty texts stay as they are, and so do rows without doc_id, which aren't compared. Rows with the same doc_id are treated as copies of one document: what is deleted
     in one is deleted in all. Extra columns stay, whatever their names.
     """
     later = later_windows(docs, w, long_line).select(F.col("__row").alias("__doc"), F.col("w.start").alias("__starts"), F.col("w.len").alias("__lens"))
