@@ -31,6 +31,8 @@ RATE = 0.5
 THRESHOLD = 0.7
 HELD_OUT = 2
 _CACHE_WORDS = 500_000
+#: Bytes of words that are cut into n-grams at once; longer words are counted in pieces.
+_AT_ONCE = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,7 +53,7 @@ def _buckets(x: np.ndarray, buckets: int) -> np.ndarray:
 
 def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of words and of their byte 3- and 4-grams with the ends marked: (all in a row by word, how many a word has)."""
-    marked = [b"<" + w[:64] + b">" for w in words]
+    marked = [b"<" + w + b">" for w in words]
     at = np.repeat(np.arange(len(words)), [len(w) for w in marked])
     b = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     owner, found = [np.arange(len(words))], [_buckets(_word_hashes(words), buckets)]
@@ -66,6 +68,30 @@ def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarra
     return found[order], np.bincount(owner, minlength=len(words))
 
 
+def long_word_features(word: bytes, buckets: int = BUCKETS, step: int = _AT_ONCE) -> np.ndarray:
+    """How often each bucket occurs among the features of one word, as word_features() finds them, in memory that doesn't grow with the word."""
+    out = np.bincount(_buckets(_word_hashes([word]), buckets), minlength=buckets)
+    marked = b"<" + word + b">"
+    for n in (3, 4):
+        for at in range(0, len(marked) - n + 1, step):
+            b = np.frombuffer(marked[at : at + step + n - 1], np.uint8).astype(np.uint64)
+            gram = sum((b[i : len(b) - n + 1 + i] << np.uint64(8 * i) for i in range(n)), np.uint64(n) << np.uint64(40))
+            out += np.bincount(_buckets(gram, buckets), minlength=buckets)
+    return out
+
+
+def portions(words: list[bytes], size: int = _AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of words of at most `size` bytes together; a longer word is a range of its own."""
+    start = held = 0
+    for i, w in enumerate(words):
+        if i > start and held + len(w) > size:
+            yield start, i
+            start, held = i, 0
+        held += len(w)
+    if words:
+        yield start, len(words)
+
+
 def pair_features(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of neighbouring words; a word that follows itself has a bucket of its own, whatever the word."""
     out = _buckets(hashes[:-1] * _MIX + hashes[1:], buckets)
@@ -83,10 +109,17 @@ def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     if not ws:
         return np.zeros(1, np.int32), np.full(1, PRIOR, np.int32)
     times = Counter(ws)
-    flat, per = word_features(list(times), buckets)
-    ids, inverse = np.unique(np.concatenate([flat, pair_features(_word_hashes(ws), buckets)]), return_inverse=True)
-    weight = np.concatenate([np.repeat(np.fromiter(times.values(), float, len(times)), per), np.ones(len(ws) - 1)])
-    return np.concatenate([[0], ids]).astype(np.int32), np.concatenate([[PRIOR], np.bincount(inverse, weights=weight)]).astype(np.int32)
+    words, often = list(times), np.fromiter(times.values(), np.int64, len(times))
+    total = np.bincount(pair_features(_word_hashes(ws), buckets), minlength=buckets)
+    for i, j in portions(words):
+        if len(words[i]) > _AT_ONCE:
+            total += often[i] * long_word_features(words[i], buckets)
+        else:
+            flat, per = word_features(words[i:j], buckets)
+            total += np.bincount(flat, weights=np.repeat(often[i:j], per), minlength=buckets).astype(np.int64)
+    total[0] = PRIOR
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids].astype(np.int32)
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -152,9 +185,17 @@ class Model:
     def _learn_words(self, fresh: list[bytes]) -> None:
         n = len(self._index)
         self._index.update(zip(fresh, range(n, n + len(fresh))))
-        flat, per = word_features(fresh, len(self.score))
-        self._sums = np.concatenate([self._sums, np.add.reduceat(self.score[flat], np.concatenate([[0], np.cumsum(per)[:-1]]))])
-        self._counts = np.concatenate([self._counts, per])
+        sums, counts = [self._sums], [self._counts]
+        for i, j in portions(fresh):
+            if len(fresh[i]) > _AT_ONCE:
+                times = long_word_features(fresh[i], len(self.score))
+                sums.append([times @ self.score])
+                counts.append([times.sum()])
+            else:
+                flat, per = word_features(fresh[i:j], len(self.score))
+                sums.append(np.add.reduceat(self.score[flat], np.concatenate([[0], np.cumsum(per)[:-1]])))
+                counts.append(per)
+        self._sums, self._counts = np.concatenate(sums), np.concatenate(counts)
         self._hashes = np.concatenate([self._hashes, _word_hashes(fresh)])
 
     def probabilities(self, texts) -> np.ndarray:
@@ -205,12 +246,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [bag(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "ids": [a.astype("<i4").tobytes() for a, _ in made], "n": [np.minimum(b, 65535).astype("<u2").tobytes() for _, b in made]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "ids": [a.astype("<i4").tobytes() for a, _ in made], "n": [b.astype("<i4").tobytes() for _, b in made]})
 
     got = rows.mapInPandas(bags, "doc_id long, y int, ids binary, n binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(got):
         return Model(np.zeros(BUCKETS), 0.0)
-    made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<u2")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
+    made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
     del got
     model = Model(*fit(made, y))
     logits = np.array([(n.astype(float) @ model.score[ids]) / n.sum(dtype=np.int64) + model.bias for ids, n in made])

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from graphloom.llm import line_dedup
+from graphloom.llm import line_dedup, quality
 
 # --- 3 lines ------------------------------------------------------------------------------------------------------------
 
@@ -38,3 +39,36 @@ def test_line_runs_against_brute_force(spark, w, long_line):
     assert any(n for _, n in want.values())
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {x.doc_id: (x.text, x.n_removed) for x in line_dedup.line_dedup(docs, w, long_line).collect()} == want
+
+
+# --- 6 quality ----------------------------------------------------------------------------------------------------------
+
+
+def plain_bag(text: str) -> dict[int, int]:
+    """Buckets of all n-grams of whole words, counted one by one."""
+    words, out = text.encode().split(), {0: quality.PRIOR}
+    found = list(quality.pair_features(quality._word_hashes(words)))
+    for w in words:
+        m = b"<" + w + b">"
+        grams = [int.from_bytes(m[i : i + n], "little") + (n << 40) for n in (3, 4) for i in range(len(m) - n + 1)]
+        found += [*quality._buckets(quality._word_hashes([w]), quality.BUCKETS), *quality._buckets(np.array(grams, np.uint64), quality.BUCKETS)]
+    for x in found:
+        out[int(x)] = out.get(int(x), 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("at_once", [7, 100, 1 << 19])
+def test_long_words_count_to_their_end(monkeypatch, at_once):
+    monkeypatch.setattr(quality, "_AT_ONCE", at_once)
+    monkeypatch.setattr(quality.portions, "__defaults__", (at_once,))
+    monkeypatch.setattr(quality.long_word_features, "__defaults__", (quality.BUCKETS, at_once))
+    r = random.Random(5)
+    unspaced = "".join(chr(r.randint(0x4E00, 0x4FFF)) for _ in range(200))
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.1)
+    texts = [unspaced, "short words then " + unspaced + " " + unspaced, "a bb ccc", "x" * 70, "x" * 64 + "y"]
+    for text, got in zip(texts, model.probabilities(texts)):
+        ids, n = quality.bag(text)
+        want = plain_bag(text)
+        assert dict(zip(ids.tolist(), n.tolist())) == want
+        z = sum(model.score[i] * k for i, k in want.items()) / sum(want.values()) + model.bias
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
