@@ -6,6 +6,8 @@ regions, the vectors of embeddings, and the lines of documents as a corpus.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +99,15 @@ def vectors(spark, sf) -> DataFrame:
 VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"
 
 
+def n_vectors(spark, sf) -> int:
+    """How many vectors there are; their ids are 0 to one less. The SQL of queries that use it holds 500, which is right for tables of 500 vectors."""
+    return table(spark, sf, "embeddings").count()
+
+
 def triples(spark, sf) -> DataFrame:
     """(ord, h, r, t) of vector ids by arithmetic, with their vectors hv, rv and tv."""
     v = vectors(spark, sf).select("id", "vec")
-    n = F.lit(500)
+    n = n_vectors(spark, sf)
     base = v.select(F.col("id").alias("ord"), F.col("id").alias("h"), ((F.col("id") * 7 + 3) % n).alias("r"), ((F.col("id") * 11 + 5) % n).alias("t"))
     for c in "hrt":
         base = base.join(v.select(F.col("id").alias(c), F.col("vec").alias(f"{c}v")), c)
@@ -401,8 +408,9 @@ def negative_sample_node(spark, sf):
 @query(f"""WITH {VEC}, n AS (SELECT id AS pos, id AS h, id % 7 AS r, (id * 11 + 5) % 500 AS t, k FROM v, range(4) z(k)), d AS (SELECT *, {draw_sql('(pos * 4 + k)', 0, 3)} AS a, {draw_sql('(pos * 4 + k)', 1, 3)} AS b FROM n)
 SELECT pos, CAST(k AS INTEGER) AS k, CASE WHEN b < 0.5 THEN CAST(floor(a * 500) AS BIGINT) ELSE h END AS h, r, CASE WHEN b < 0.5 THEN t ELSE CAST(floor(a * 500) AS BIGINT) END AS t FROM d""")
 def negative_sample_kg(spark, sf):
-    rows = vectors(spark, sf).select(F.col("id").alias("pos"), F.col("id").alias("h"), (F.col("id") % 7).alias("r"), ((F.col("id") * 11 + 5) % 500).alias("t"))
-    return R.corrupted_triplets(rows, 500, 4, 3)
+    n = n_vectors(spark, sf)
+    rows = vectors(spark, sf).select(F.col("id").alias("pos"), F.col("id").alias("h"), (F.col("id") % 7).alias("r"), ((F.col("id") * 11 + 5) % n).alias("t"))
+    return R.corrupted_triplets(rows, n, 4, 3)
 
 
 _WALKS = "wk AS (SELECT p_partkey AS walk, 'p' || p_partkey AS a FROM part)"
@@ -555,7 +563,7 @@ r AS (SELECT y, avg(n) OVER (PARTITION BY score) AS rank FROM (SELECT y, score,
 def link_prediction_auc(spark, sf):
     v = vectors(spark, sf)
     b = v.select(F.col("id").alias("dst"), F.col("label").alias("other"))
-    tests = v.select(F.col("id").alias("src"), ((F.col("id") * 13 + 1) % 500).alias("dst"), "label").join(b, "dst").select("src", "dst", (F.col("label") == F.col("other")).cast("int").alias("y"))
+    tests = v.select(F.col("id").alias("src"), ((F.col("id") * 13 + 1) % n_vectors(spark, sf)).alias("dst"), "label").join(b, "dst").select("src", "dst", (F.col("label") == F.col("other")).cast("int").alias("y"))
     return E.link_auc(tests, v, v).select(r6("auc").alias("auc"))
 
 
@@ -639,7 +647,10 @@ def scatter_sum(spark, sf):
 
 @query(f"WITH {VEC} SELECT o.i AS ord, v.id, round(v.vec[1], 6) + 0.0 AS x FROM range(1000) o(i) JOIN v ON v.id = (o.i * 7) % 500")
 def gather_rows(spark, sf):
-    index = spark.range(1000).select(F.col("id").alias("ord"), ((F.col("id") * 7) % 500).alias("id"))
+    n = n_vectors(spark, sf)
+    # Every row twice; where 7 divides n, steps of 7 come back to the same rows, so each round starts one further on.
+    turns = math.gcd(7, n)
+    index = spark.range(2 * n).select(F.col("id").alias("ord"), ((F.col("id") * 7 + F.expr(f"id DIV {max(1, n // turns)}") % turns) % n).alias("id"))
     return E.gather(index, vectors(spark, sf).select("id", "vec")).select("ord", "id", r6(F.col("vec")[0]).alias("x"))
 
 

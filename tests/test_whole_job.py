@@ -14,7 +14,7 @@ def small(spark, tmp_path_factory):
     """A folder with 42 vectors of 10 classes, one of them without a label."""
     path = str(tmp_path_factory.mktemp("small"))
     x = np.random.default_rng(3).normal(size=(N, 64))
-    rows = [(i, [float(a) for a in x[i]], None if i == 41 else i % 10) for i in range(N)]
+    rows = [(i, [float(a) for a in x[i]], None if i == 41 else i // 4 % 10) for i in range(N)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
@@ -29,3 +29,28 @@ def test_node_classification_learns_every_class(spark, small, monkeypatch):
     monkeypatch.setattr(E, "node_classification", watch)
     assert C.node_classification(spark, small).count() == 1
     assert seen == {"labels": {str(k) for k in range(10)}, "rows": N - 1}
+
+
+def test_triples_reach_every_vector(spark, small):
+    rows = C.triples(spark, small).select("ord", "h", "r", "t").collect()
+    assert {tuple(r) for r in rows} == {(i, i, (i * 7 + 3) % N, (i * 11 + 5) % N) for i in range(N)}
+    assert C.QUERIES["score_transe"](spark, small).count() == C.predict_logits(spark, small).count() == N
+
+
+def test_negatives_are_drawn_from_all_entities(spark, small):
+    rows = C.negative_sample_kg(spark, small).collect()
+    drawn = {r.h for r in rows if r.h != r.pos} | {r.t for r in rows if r.h == r.pos and r.t != (r.pos * 11 + 5) % N}
+    assert len(rows) == 4 * N and min(drawn) >= 0 and N // 2 < max(drawn) < N
+
+
+def test_link_auc_pairs_every_vector(spark, small):
+    rows = {r.id: (np.array(r.vec), r.label) for r in C.vectors(spark, small).collect()}
+    scored = [(float(rows[i][0] @ rows[j][0]), rows[i][1] == rows[j][1]) for i in rows for j in [(i * 13 + 1) % N] if rows[i][1] is not None and rows[j][1] is not None]
+    good, bad = [s for s, y in scored if y], [s for s, y in scored if not y]
+    want = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert C.link_prediction_auc(spark, small).first()["auc"] == pytest.approx(want, abs=2e-6)
+
+
+def test_gather_reads_every_row(spark, small):
+    rows = C.gather_rows(spark, small).collect()
+    assert sorted(r.id for r in rows) == sorted([*range(N), *range(N)])
