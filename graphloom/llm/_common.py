@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +22,15 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset a temporary folder serves in local mode only, as in tests; on a cluster it would lose tables with the machine that holds them.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, _fallback["dir"], ignore_errors=True)
@@ -97,3 +106,68 @@ def unpack(blob: bytes) -> list:
             out.append(raw[at : at + n])
             at += n
     return out
+
+
+_LONG_ROUNDS = 32
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(raw: bytes) -> np.ndarray:
+    """The eight bytes from every place of raw on, zeros behind its end."""
+    return np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), 0, (1,))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit over all (works in place)."""
+    h ^= h >> np.uint64(32)
+    h *= _M1
+    h ^= h >> np.uint64(29)
+    h *= _M2
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def span_hashes(raw: bytes, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of raw[start[i]:stop[i]], eight bytes a round for all spans at once; the rest of very long ones by xxh3."""
+    eights, size = _eights(raw), stop - start
+    h = (size + seed).astype(np.uint64) * _M2
+    at, on = np.arange(len(size)), start
+    for r in range(_LONG_ROUNDS):
+        if not len(at):
+            return h
+        left = size[at] - 8 * r
+        h[at] = mixed(h[at] ^ (eights[on] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        at, on = at[more], on[more] + 8
+    for i, a in zip(at.tolist(), on.tolist()):
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(raw[a : int(stop[i])], seed))
+    return mixed(h)
+
+
+def same_spans(raw: bytes, start: np.ndarray, stop: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every span i holds the same bytes as span other[i]."""
+    size = stop - start
+    differs = other != np.arange(len(size))
+    one, two = np.flatnonzero(differs), other[differs]
+    if (size[one] != size[two]).any():
+        return False
+    eights = _eights(raw)
+    for r in range(_LONG_ROUNDS):
+        if not len(one):
+            return True
+        keep = _LOW_BYTES[np.minimum(size[one] - 8 * r, 8)]
+        if ((eights[start[one] + 8 * r] ^ eights[start[two] + 8 * r]) & keep).any():
+            return False
+        more = size[one] - 8 * r > 8
+        one, two = one[more], two[more]
+    return all(raw[start[i] : stop[i]] == raw[start[j] : stop[j]] for i, j in zip(one.tolist(), two.tolist()))
+
+
+def give_back() -> None:
+    """Free memory goes back to the system at the end of a task: Python workers live on, and the next stage shall not pay for this one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

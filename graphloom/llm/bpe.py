@@ -11,7 +11,7 @@ import hashlib
 import importlib.util
 import json
 import os
-import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import flagged, pack, partitions, read, unpack
+from ._common import flagged, give_back, pack, partitions, read, same_spans, span_hashes, unpack
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
@@ -33,34 +33,38 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
 
 TOKENIZER = vocabulary_file()
 BATCH_CHARS = 1 << 20
-CHUNK_CHARS = 1 << 24
-_CACHE_WORDS = 1_000_000
-L, N, O, S, END = 0, 1, 2, 3, 5
-_B = 0x5851F42D4C957F2D
-_M = np.uint64(0x9E3779B97F4A7C15)
+CHUNK_CHARS = 1 << 23
+#: Ranges of the distinct-word table; it grows with the input up to MAX_RANGES, as every chunk sends a row to every range.
+RANGES_A_SPLIT, MAX_RANGES = 4, 1 << 15
+L, N, O, S, END, UNKNOWN = 0, 1, 2, 3, 5, 9
 _cache: dict = {}
 
 
-def _classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space or other."""
-    if "classes" not in _cache:
-        t = np.full(0x110000, O, np.uint8)
-        for c in range(0x110000):
-            k = unicodedata.category(chr(c))[0]
-            if k == "L":
-                t[c] = L
-            elif k == "N":
-                t[c] = N
-        for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]:
-            t[c] = S
-        _cache["classes"] = t
-    return _cache["classes"]
+def _ask(points: list[int]) -> list[int]:
+    """Classes of code points, by what the library's pre-tokenizer joins them with."""
+    from tokenizers.pre_tokenizers import ByteLevel
 
+    cut, out = ByteLevel(add_prefix_space=False, use_regex=True), [S] * len(points)
+    for lead, kind in (("a", L), ("1", N), ("!", O)):
+        for _, (a, b) in cut.pre_tokenize_str("".join(f"{lead}{chr(c)}\n" for c in points)):
+            if a % 3 == 0 and b - a > 1:
+                out[a // 3] = kind
+    return out
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "powers" not in _cache or len(_cache["powers"][0]) < n:
-        _cache["powers"] = tuple(np.cumprod(np.full(max(n, BATCH_CHARS + BATCH_CHARS // 4), b, np.uint64)) for b in (_B, pow(_B, -1, 1 << 64)))
-    return _cache["powers"]
+
+def classes(cp: np.ndarray) -> np.ndarray:
+    """Class of every code point: letter, number, white space or other, as the library itself takes them (its Unicode version may differ from Python's)."""
+    if "classes" not in _cache:
+        known = np.full(0x110000, UNKNOWN, np.uint8)
+        known[0xD800:0xE000] = O  # lone surrogates, which no column of strings holds
+        _cache["classes"] = known
+    known = _cache["classes"]
+    cls = known[cp]
+    if (cls == UNKNOWN).any():
+        new = np.unique(cp[cls == UNKNOWN])
+        known[new] = _ask(new.tolist())
+        cls = known[cp]
+    return cls
 
 
 def word_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -93,10 +97,20 @@ def word_starts(cp: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 class Splitter:
-    """Words of texts as hashes; keeps the spelling of each new hash. special: strings that are words whatever surrounds them."""
+    """Words of texts as codes; keeps the spelling of each new word in UTF-8. special: strings that are words whatever surrounds them."""
 
     def __init__(self, special: list[str]):
-        self.special, self.codes, self.words = special, {}, []
+        self.special, self.codes = special, {}
+
+    @property
+    def spelled(self) -> list[bytes]:
+        """The words by code, in UTF-8."""
+        return list(self.codes)
+
+    @property
+    def words(self) -> list[str]:
+        """The words by code."""
+        return [w.decode("utf-8", "surrogatepass") for w in self.codes]
 
     def _pieces(self, text: str) -> list[tuple[str, bool]]:
         out = [(text, False)]
@@ -118,8 +132,9 @@ class Splitter:
         if not pieces:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         whole = "\0".join(p for _, p, _ in pieces) + "\0"
+        raw = whole.encode("utf-8", "surrogatepass")
         cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        cls = _classes()[cp]
+        cls = classes(cp)
         ends = np.cumsum([len(p) + 1 for _, p, _ in pieces]) - 1
         cls[ends] = END
         start = word_starts(cp, cls)
@@ -130,39 +145,36 @@ class Splitter:
         at = np.flatnonzero(start)
         owner = np.searchsorted(ends, at)
         stop = np.minimum(np.concatenate([at[1:], [len(cp)]]), ends[owner])
-        power, inverse = _powers(len(cp))
-        sums = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * power[: len(cp)], out=sums[1:])
-        h = (sums[stop] - sums[at]) * inverse[at]
-        h = (h ^ (h >> np.uint64(32))) * _M + (stop - at).astype(np.uint64)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        codes = np.empty(len(distinct), np.int32)
-        known = self.codes
-        for i, (x, a, b) in enumerate(zip(distinct.tolist(), at[first].tolist(), stop[first].tolist())):
-            c = known.get(x)
-            if c is None:
-                c = known[x] = len(known)
-                self.words.append(whole[a:b])
-            codes[i] = c
+        byte = np.concatenate([[0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF), dtype=np.int64)])
         kinds = np.array([k for k, _, _ in pieces])
-        return codes[back], np.bincount(kinds[owner], minlength=len(texts))
+        return self.code(raw, byte[at], byte[stop]), np.bincount(kinds[owner], minlength=len(texts))
 
+    def code(self, raw: bytes, start: np.ndarray, stop: np.ndarray, hashed=span_hashes) -> np.ndarray:
+        """Codes of the words raw[start:stop]. Hashes only group them: spellings are compared, and words are told apart by spelling where a hash isn't enough."""
+        known = self.codes
+        _, first, back = np.unique(hashed(raw, start, stop), return_index=True, return_inverse=True)
+        if not same_spans(raw, start, stop, first[back]):
+            return np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), stop.tolist())), np.int32, len(start))
+        codes = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(start[first].tolist(), stop[first].tolist())), np.int32, len(first))
+        return codes[back]
 
-def _chunk_rows(ids: list, codes: list[np.ndarray], sizes: list[np.ndarray], words: list[str], parts: int, place: tuple[int, int], documents: bool) -> pd.DataFrame:
+
+def _chunk_rows(ids: list, codes: list[np.ndarray], sizes: list[np.ndarray], words: list[bytes], parts: int, place: tuple[int, int], documents: bool) -> pd.DataFrame:
     """The documents of a chunk as codes of its words, or its words by part. A chunk is named after its place and its content."""
     codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
     n = np.bincount(codes, minlength=len(words))
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    spelled = [words[i].encode("utf-8", "surrogatepass") for i in order]
+    spelled = [words[i] for i in order.tolist()]
     name = hashlib.blake2b(b"\0".join(spelled) + np.sort(n).tobytes(), digest_size=8, key=repr((place, ids)).encode()[:64])
     chunk = int.from_bytes(name.digest(), "little") >> 2
     if documents:
         known = np.array([0 if i is None else int(i) for i in ids], np.int64)
-        blob = pack(known & 0xFFFFFFFF, (known >> 32) & 0xFFFFFFFF, np.array([i is None for i in ids], np.int64), np.concatenate(sizes), rank[codes] if len(codes) else codes.astype(np.int64))
+        blob = pack(known & 0xFFFFFFFF, (known >> 32) & 0xFFFFFFFF, np.array([i is None for i in ids], np.int64), np.concatenate(sizes), rank[codes])
         return pd.DataFrame({"chunk": [chunk], "part": [-1], "blob": [blob]})
-    where = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % parts for w in spelled], np.int64)
+    stops = np.cumsum([len(w) for w in spelled])
+    where = (span_hashes(b"".join(spelled), np.concatenate([[0], stops[:-1]]), stops, 3) % np.uint64(parts)).astype(np.int64) if spelled else np.zeros(0, np.int64)
     rows = []
     for p in np.unique(where):
         at = np.flatnonzero(where == p)
@@ -196,17 +208,19 @@ def _split(special: list[str], parts: int, documents: bool):
                     sizes.append(n)
                     chars, texts, size = chars + size, [], 0
                     if chars >= CHUNK_CHARS:
-                        yield _chunk_rows(ids, codes, sizes, splitter.words, parts, (task, seq), documents)
+                        yield _chunk_rows(ids, codes, sizes, splitter.spelled, parts, (task, seq), documents)
                         seq += 1
                         ids, codes, sizes, splitter, chars = clear()
         if ids:
-            yield _chunk_rows(ids, codes, sizes, splitter.words, parts, (task, seq), documents)
+            yield _chunk_rows(ids, codes, sizes, splitter.spelled, parts, (task, seq), documents)
+        ids, codes, sizes, splitter, chars = clear()
+        give_back()
 
     return run
 
 
 def _encode(path: str):
-    """Words of a part of all chunks: each distinct one is encoded once."""
+    """Rows sorted by range: the words that chunks asked for. Each distinct word of a range is encoded once, and a range is forgotten when the next begins."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
@@ -215,25 +229,31 @@ def _encode(path: str):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        known: dict[bytes, tuple[int, ...]] = {}
+        at, known, flat, ends = None, {}, array("I"), array("Q", [0])
         for pdf in batches:
             out = []
             for chunk, part, blob in zip(pdf["chunk"], pdf["part"], pdf["blob"]):
+                if part != at:
+                    at, known, flat, ends = part, {}, array("I"), array("Q", [0])
                 steps, lens, raw = unpack(blob)
-                ends = np.cumsum(lens).tolist()
-                words = [raw[e - n : e] for e, n in zip(ends, lens.tolist())]
-                fresh = list(dict.fromkeys(w for w in words if w not in known))
-                if len(known) > _CACHE_WORDS:
-                    known.clear()
-                    fresh = list(dict.fromkeys(words))
+                stops = np.cumsum(lens).tolist()
+                words = [raw[e - n : e] for e, n in zip(stops, lens.tolist())]
+                fresh = [w for w in words if w not in known]  # the words of a chunk are distinct
                 for i in range(0, len(fresh), 4096):
                     some = fresh[i : i + 4096]
-                    for w, e in zip(some, tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
-                        known[w] = tuple(e.ids)
-                ids = [known[w] for w in words]
-                flat = np.fromiter((x for e in ids for x in e), np.int64)
-                out.append((chunk, part, pack(steps, np.array([len(e) for e in ids], np.int64), flat)))
+                    for w, e in zip(some, tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
+                        known[w] = len(known)
+                        flat.extend(e.ids)
+                        ends.append(len(flat))
+                number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                upto, all_ids = np.frombuffer(ends, np.uint64).astype(np.int64), np.frombuffer(flat, np.uint32)
+                start, n = upto[number], upto[number + 1] - upto[number]
+                where = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                out.append((chunk, part, pack(steps, n, all_ids[where])))
+                del upto, all_ids  # else the arrays can't grow
             yield pd.DataFrame(out, columns=["chunk", "part", "blob"])
+        del at, known, flat, ends, tok
+        give_back()
 
     return run
 
@@ -304,6 +324,8 @@ def _join_back(path: str, whole: bool):
                     answers.append(b)
         if at is not None:
             yield documents(blob, answers, table)
+        del blob, answers, table
+        give_back()
 
     return run
 
@@ -316,11 +338,12 @@ def encode_decode(docs: DataFrame, path: str = TOKENIZER, whole: bool = False) -
     by CHUNK_CHARS and the longest text. Texts are split twice, once for the words and once for the codes, rather than written in between: docs must give the
     same rows in the same order when it is read again, as files do; otherwise the join fails instead of mixing chunks up.
     """
-    parts = int(min(max(partitions(docs), 8), 2048))
+    splits = max(partitions(docs), 8)
+    ranges = min(RANGES_A_SPLIT * splits, MAX_RANGES)
     plain = flagged(docs)
-    words, coded = (plain.mapInPandas(_split(special_words(path), parts, documents), CHUNKS) for documents in (False, True))
-    answered = words.repartition(parts, "part").mapInPandas(_encode(path), CHUNKS)
-    rows = coded.unionByName(answered).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    words, coded = (plain.mapInPandas(_split(special_words(path), ranges, documents), CHUNKS) for documents in (False, True))
+    answered = words.repartition(min(splits, ranges), "part").sortWithinPartitions("part").mapInPandas(_encode(path), CHUNKS)
+    rows = coded.unionByName(answered).repartition(splits, "chunk").sortWithinPartitions("chunk", "part")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
     return rows.mapInPandas(_join_back(path, whole), schema)
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.llm import line_dedup, quality
+from graphloom.llm import _common, bpe, line_dedup, quality
 
 # --- 3 lines ------------------------------------------------------------------------------------------------------------
 
@@ -72,3 +72,54 @@ def test_long_words_count_to_their_end(monkeypatch, at_once):
         assert dict(zip(ids.tolist(), n.tolist())) == want
         z = sum(model.score[i] * k for i, k in want.items()) / sum(want.values()) + model.bias
         assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+# --- 9 words are told apart by spelling -----------------------------------------------------------------------------------
+
+
+def thue_morse(order: int, swap: bool = False) -> str:
+    """Strings that collide with their complement in any polynomial hash modulo a power of two."""
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(1 << order))
+
+
+def test_words_with_equal_hashes_stay_apart(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(0, thue_morse(10)), (1, thue_morse(10, True)), (-7, "x" * 300 + " " + "x" * 299 + "y"), (2**62, "é" * 1000)]
+    tok = Tokenizer.from_file(bpe.TOKENIZER)
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), whole=True).collect()}
+    assert got == {i: (tok.encode(t, add_special_tokens=False).ids, t) for i, t in rows}
+
+
+@pytest.mark.parametrize("hashed", [lambda raw, a, b: np.zeros(len(a), np.uint64), lambda raw, a, b: (b - a).astype(np.uint64)])
+def test_any_hash_will_do(hashed):
+    words = [b"a", b"bb", b"a", b"cc", b"", b"x" * 400, b"x" * 399 + b"y", b"x" * 400]
+    stop = np.cumsum([len(w) for w in words])
+    splitter = bpe.Splitter([])
+    codes = splitter.code(b"".join(words), stop - [len(w) for w in words], stop, hashed)
+    assert [splitter.spelled[c] for c in codes] == words
+
+
+def test_span_hashes_depend_on_the_bytes_of_the_span_only():
+    r = random.Random(8)
+    spans = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 7, 8, 9, 255, 256, 257, 1000)] * 2
+    raw, stop = b"".join(spans), np.cumsum([len(s) for s in spans])
+    h = _common.span_hashes(raw, stop - [len(s) for s in spans], stop)
+    assert h[:9].tolist() == h[9:].tolist() and len(set(h.tolist())) == 9
+    flipped = bytes([raw[0] ^ 1]) + raw[1:]
+    assert (_common.span_hashes(flipped, stop - [len(s) for s in spans], stop) != h).sum() == 1
+
+
+def test_classes_of_all_code_points_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    pre = Tokenizer.from_file(bpe.TOKENIZER).pre_tokenizer
+    r = random.Random(4)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for part in [points[i : i + 4096] for i in range(0, 0x20000, 4096)] + [r.sample(points, 4096) for _ in range(4)]:
+        text = "".join(chr(c) + r.choice("a1! ") for c in part)
+        splitter = bpe.Splitter([])
+        codes, _ = splitter.split([text])
+        words = splitter.words
+        at = np.cumsum([0] + [len(words[c]) for c in codes]).tolist()
+        assert list(zip(at[:-1], at[1:])) == [span for _, span in pre.pre_tokenize_str(text)]
