@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import shutil
 import tempfile
 import uuid
@@ -166,7 +165,6 @@ def same_spans(raw: bytes, start: np.ndarray, stop: np.ndarray, other: np.ndarra
 
 def give_back() -> None:
     """Free memory goes back to the system at the end of a task: Python workers live on, and the next stage shall not pay for this one."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
