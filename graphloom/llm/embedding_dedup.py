@@ -85,7 +85,10 @@ class Grid:
 
 
 def _unit(pdf_vec) -> np.ndarray:
+    """Rows of length 1 from arrays, or from the bytes of such rows in their own precision."""
     x = np.array([np.asarray(v, np.float64) for v in pdf_vec])
+    # Scaled by a power of two first, which is exact, so that squares neither vanish nor overflow.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -115,8 +118,8 @@ class _Block:
         self.rows: list[tuple] = []
         self.ready = False
 
-    def add(self, pdf: pd.DataFrame) -> None:
-        self.rows.append((pdf["vec_id"].to_numpy(), pdf["many"].to_numpy(), np.array([j[0] for j in pdf["js"]]), _unit(pdf["vec"])))
+    def add(self, pdf: pd.DataFrame, kind: str) -> None:
+        self.rows.append((pdf["vec_id"].to_numpy(), pdf["many"].to_numpy(), np.array([np.frombuffer(j, np.int32)[0] for j in pdf["js"]]), _unit(np.frombuffer(v, kind) for v in pdf["vec"])))
 
     def close(self) -> None:
         if not self.ready:
@@ -125,13 +128,13 @@ class _Block:
             self.ids, self.many, self.js, self.x = (p[order] for p in parts)
             self.found, self.ready = np.zeros(len(self.ids), np.int64), True
 
-    def meet(self, pdf: pd.DataFrame, cosine: float) -> list[tuple[int, int, int]]:
-        """(vector, links, other): link counts of the visitors, and forest edges with count 0."""
+    def meet(self, pdf: pd.DataFrame, cosine: float, kind: str) -> list[tuple[int, int, int, bool]]:
+        """(vector, links, other, edge): link counts of the visitors, and edges of a forest."""
         self.close()
         if not len(self.ids):
             return []
-        qid, qmany, q = pdf["vec_id"].to_numpy(), pdf["many"].to_numpy(), _unit(pdf["vec"])
-        js = pdf["js"].to_list()
+        qid, qmany, q = pdf["vec_id"].to_numpy(), pdf["many"].to_numpy(), _unit(np.frombuffer(v, kind) for v in pdf["vec"])
+        js = [np.frombuffer(j, np.int32) for j in pdf["js"]]
         who, where = np.repeat(np.arange(len(js)), [len(j) for j in js]), np.concatenate(js)
         order = np.argsort(where, kind="stable")
         who, where = who[order], where[order]
@@ -148,42 +151,47 @@ class _Block:
             np.add.at(self.found, j, qmany[i])
             us.append(qid[i])
             vs.append(self.ids[j])
-        out = [(int(a), int(n), -1) for a, n in zip(qid, count) if n]
-        return out + [(a, 0, b) for a, b in _forest(np.concatenate(us), np.concatenate(vs))] if us else out
+        out = [(int(a), int(n), 0, False) for a, n in zip(qid, count) if n]
+        return out + [(a, 0, b, True) for a, b in _forest(np.concatenate(us), np.concatenate(vs))] if us else out
 
-    def end(self) -> list[tuple[int, int, int]]:
+    def end(self) -> list[tuple[int, int, int, bool]]:
         self.close()
-        return [(int(a), int(n), -1) for a, n in zip(self.ids, self.found) if n]
+        return [(int(a), int(n), 0, False) for a, n in zip(self.ids, self.found) if n]
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str):
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["vec_id", "links", "other", "edge"]).astype({"vec_id": "int64", "links": "int64", "other": "int64", "edge": "bool"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, block = None, _Block()
-        cols = ["vec_id", "links", "other"]
         for pdf in batches:
             for key, part in pdf.groupby(["region", "chunk"], sort=False):
                 if key != at:
-                    yield pd.DataFrame(block.end(), columns=cols, dtype="int64")
+                    yield frame(block.end())
                     at, block = key, _Block()
                 own, visitors = part[part["side"] == 0], part[part["side"] == 1]
                 if len(own):
-                    block.add(own)
+                    block.add(own, kind)
                 for i in range(0, len(visitors), 2048):
-                    yield pd.DataFrame(block.meet(visitors.iloc[i : i + 2048], cosine), columns=cols, dtype="int64")
-        yield pd.DataFrame(block.end(), columns=cols, dtype="int64")
+                    yield frame(block.meet(visitors.iloc[i : i + 2048], cosine, kind))
+        yield frame(block.end())
 
     return run
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET_RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors (ids from 0 on).
+    """vec_id, n_links, component_id, kept for every row of vectors.
 
     A link joins two vectors with cosine >= `cosine` in double precision. Vectors that are null, zero or hold null or
     non-finite components, or whose dimension isn't the most common one, link with nothing. Equal vectors form a class: one of them
     is indexed, all are counted. Rows with the same id are linked as rows of their own. The codebooks are fitted on at most SAMPLE classes; all are indexed.
     """
     spark = vectors.sparkSession
-    v = F.col(vec_col).cast("array<double>")
+    # Vectors travel in their own precision; what is computed is computed in doubles.
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    array, kind = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    v = F.col(vec_col).cast(array)
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, v).alias("vec"))
     dim = base.where("vec IS NOT NULL").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -209,12 +217,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
                 y = _unit(part["vec"])
                 y = y if y.shape[1] > 1 else np.hstack([y, np.zeros((len(y), 1))])
                 a, b = g.cells(y)
-                ids, many, vecs = part["rep"].to_numpy(), part["many"].to_numpy(), part["vec"].to_numpy()
-                rows = [(int(a[i]), 0, ids[i], many[i], vecs[i], [int(b[i])]) for i in range(len(part))]
-                rows += [(region, 1, ids[i], many[i], vecs[i], js) for i, region, js in g.visits(y)]
+                ids, many, vecs = part["rep"].to_numpy(), part["many"].to_numpy(), [np.asarray(x, kind).tobytes() for x in part["vec"]]
+                rows = [(int(a[i]), 0, ids[i], many[i], vecs[i], np.int32(b[i]).tobytes()) for i in range(len(part))]
+                rows += [(region, 1, ids[i], many[i], vecs[i], js.tobytes()) for i, region, js in g.visits(y)]
                 yield pd.DataFrame(rows, columns=["region", "side", "vec_id", "many", "vec", "js"])
 
-    entries = classes.select("rep", "many", "vec").mapInPandas(index, "region int, side int, vec_id long, many long, vec array<double>, js array<int>")
+    entries = classes.select("rep", "many", "vec").mapInPandas(index, "region int, side int, vec_id long, many long, vec binary, js binary")
     # A grid column that holds many vectors is cut into chunks; every visitor of the column visits all of them. At most 1024 columns: a bounded list.
     sizes = {r["region"]: r["n"] for r in classes.select("rep", "many", "vec").mapInPandas(_columns(grid), "region int, n long").groupBy("region").agg(F.sum("n").alias("n")).collect()}
     chunks = F.create_map(*[F.lit(z) for r, m in sizes.items() for z in (r, -(-m // CHUNK))])
@@ -222,9 +230,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
     own = F.array(F.pmod(F.xxhash64("vec_id"), many_chunks).cast("int"))
     entries = entries.withColumn("chunk", F.explode(F.when(F.col("side") == 0, own).otherwise(F.sequence(F.lit(0), (many_chunks - 1).cast("int")))))
     rows = entries.repartition("region", "chunk").sortWithinPartitions("region", "chunk", "side", "vec_id").select("region", "chunk", "side", "vec_id", "many", "vec", "js")
-    found = materialize(rows.mapInPandas(_compare(cosine), "vec_id long, links long, other long"), "embed-links")
-    links = found.where("other < 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("other >= 0").select(F.col("vec_id").alias("u"), F.col("other").alias("v")))
+    found = materialize(rows.mapInPandas(_compare(cosine, kind), "vec_id long, links long, other long, edge boolean"), "embed-links")
+    links = found.where("NOT edge").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.where("edge").select(F.col("vec_id").alias("u"), F.col("other").alias("v")))
     of_class = classes.select("h1", "h2", "rep", "many").join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = keyed.select("vec_id", "h1", "h2").join(of_class, ["h1", "h2"], "left")

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import _common, bpe, line_dedup, quality
+from graphloom.llm import _common, bpe, embedding_dedup, line_dedup, minhash, quality, topk
 
 # --- 3 lines ------------------------------------------------------------------------------------------------------------
 
@@ -123,3 +124,64 @@ def test_classes_of_all_code_points_are_the_library_s():
         words = splitter.words
         at = np.cumsum([0] + [len(words[c]) for c in codes]).tolist()
         assert list(zip(at[:-1], at[1:])) == [span for _, span in pre.pre_tokenize_str(text)]
+
+
+# --- 5 and 8: any id ------------------------------------------------------------------------------------------------------
+
+IDS = [-5, -3, 0, 7, 2**62, -(2**62)]
+
+
+def test_near_duplicates_with_any_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:50], "changed", *words[51:]])
+    for ids in ([-5, -3, 7, 8], [0, -1, 2**62, -(2**62)]):
+        rows = list(zip(ids, [" ".join(words), near] * 2)) + [(5000, "nothing like that")]
+        got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert got == {i: (min(ids), i == min(ids)) for i in ids} | {5000: (5000, True)}
+
+
+def test_near_vectors_with_any_id(spark):
+    rows = [(i, [1.0, 0.01 * k, 0.0]) for k, i in enumerate(IDS)] + [(9, [0.0, 0.0, 1.0]), (-9, [0.0, 0.1, 1e-30]), (10, [0.0, 1e-200, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    least = -(2**62)
+    assert got == {i: (5, least, i == least) for i in IDS} | {9: (0, 9, True), -9: (1, -9, True), 10: (1, -9, False)}
+
+
+def test_near_vectors_with_clashing_columns(spark):
+    rows = [(i, [1.0, 0.01 * i], "x", "y", "z") for i in range(5)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vec string, h1 string, rep string")
+    assert {(r.n_links, r.component_id) for r in embedding_dedup.near_vectors(docs).collect()} == {(4, 0)}
+    assert topk.top_k(docs.withColumn("norm", F.lit("x")).withColumn("score", F.lit("x")), lambda i: i == 0, 2).count() == 2
+
+
+def test_words_that_collide_in_polynomial_hashes_link_nothing(spark):
+    rows = [(0, thue_morse(10) + " x y"), (1, thue_morse(10, True) + " x y"), (2, thue_morse(12)), (3, thue_morse(12, True))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch, block):
+    """Families that share most words but aren't similar enough, so that buckets hold several components, chained by some members."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", block)
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = common[:]
+        for k in range(r.choice([0, 1, 2, 3, 3, 4])):
+            own[r.randrange(60)] = f"o{r.randrange(5)}"
+        rows.append((i * 3 - 60, " ".join(own)))
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(57)} for i, t in rows}
+    part = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and part[a] != part[b]:
+                    part[a] = part[b] = min(part[a], part[b])
+                    changed = True
+    assert 5 < len(set(part.values())) < 60
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == part
