@@ -1,113 +1,116 @@
 """Line deduplication by winnowing over line hashes (operator 3).
 
 The lines of a document are hashed, and of every window of lines the line with the smallest hash is chosen as a fingerprint,
-so two documents that share a window share a fingerprint in it. Fingerprints that occur once are dropped; the others are extended
-both ways to the windows around them. The first place of a window keeps its lines; at every later place they are deleted, so
-maximal repeated runs disappear where they repeat. Fewer lines that hold many words are a window, too.
+so two documents that share a window share a fingerprint in it. Fingerprints that occur once are dropped. The places of the others are joined: a place
+with the lines before and behind it that its windows reach meets the first place of that fingerprint with the same lines around it. So matches are extended line by line
+both ways, over the window itself and from there over the windows of the next fingerprints, to maximal runs, which are deleted at every place but the first. Fewer lines
+that hold many words are a window, too. Lines are told apart by 128 bits of a cryptographic hash, which stands for their spelling.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, read
+from ._common import discard, give_back, materialize, mixed, read
 
 WINDOW = 3
 LONG_LINE = 40
-_A = np.uint64(0x9E3779B97F4A7C15)
+#: A key with more than one in HOT of all rows is hot: at most HOT of them, which are joined by broadcast.
+HOT = 1000
 
 
-def line_units(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of a text, and of those that aren't blank: their positions, 64-bit hashes without outer white space, and word counts."""
+def line_units(text: str | None) -> tuple[list[str], list[int], list[str]]:
+    """Lines of a text; of those that aren't blank the positions, and what they hold without outer white space."""
     lines = text.split("\n") if text else []
-    at, hashes, words = [], [], []
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        if bare:
-            at.append(i)
-            hashes.append(xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")))
-            words.append(len(bare.split()))
-    return lines, np.array(at, np.int64), np.array(hashes, np.uint64), np.array(words, np.int64)
+    bare = [line.strip() for line in lines]
+    at = [i for i, line in enumerate(bare) if line]
+    return lines, at, [bare[i] for i in at]
 
 
-def _window_hash(h: np.ndarray, w: int) -> np.ndarray:
-    n = len(h) - w + 1
-    out = np.full(n, w, np.uint64)
-    for i in range(w):
-        out = (out ^ (out >> np.uint64(31))) * _A + h[i : n + i]
-    out ^= out >> np.uint64(33)
-    out *= _A
-    return out ^ (out >> np.uint64(29))
+def _digests(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, digest as two numbers, words) of all lines of texts that aren't blank; places count these lines only."""
+    found = [line_units(t)[2] for t in texts]
+    per = np.array([len(f) for f in found], np.int64)
+    digest = np.frombuffer(b"".join([blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in found for x in f]), "<u8").reshape(-1, 2)
+    words = np.fromiter((len(x.split()) for f in found for x in f), np.int64, len(digest))
+    first = np.cumsum(per) - per
+    return np.repeat(np.arange(len(per)), per), np.arange(len(digest)) - np.repeat(first, per), digest, words
 
 
-def windows(h: np.ndarray, words: np.ndarray, w: int, long_line: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, hash, fingerprint) of all windows, the fingerprint being the smallest hash among the lines.
+def windows(texts, w: int, long_line: int) -> tuple[np.ndarray, ...]:
+    """(text, start, length, fingerprint, its place, window hash as two numbers) of all windows of texts, the fingerprint being the smallest line hash.
 
     Windows are w lines on end, and the shortest runs of fewer lines that hold long_line words: those that fall below it without their first or last line.
     """
-    out, least = [], max(1, long_line)
-    upto = np.concatenate([[0], np.cumsum(words)])
-    for n in range(1, min(w, len(h)) + 1):
-        at = np.arange(len(h) - n + 1)
+    owner, place, digest, words = _digests(texts)
+    least, upto, out = max(1, long_line), np.concatenate([[0], np.cumsum(words)]), []
+    for n in range(1, w + 1):
+        if len(owner) < n:
+            break
+        at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
         if n < w:
-            total = upto[n:] - upto[:-n]
-            at = at[(total >= least) & (total - words[: len(at)] < least) & (total - words[n - 1 :] < least)]
-        low = np.lib.stride_tricks.sliding_window_view(h, n)[at].min(1)
-        out += [(i, n, x, f) for i, x, f in zip(at.tolist(), _window_hash(h, n)[at].tolist(), low.tolist())]
-    return out
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+            total = upto[at + n] - upto[at]
+            at = at[(total >= least) & (total - words[at] < least) & (total - words[at + n - 1] < least)]
+        low, where = digest[at, 0], at.copy()
+        for i in range(1, n):
+            smaller = digest[at + i, 0] < low
+            low, where = np.where(smaller, digest[at + i, 0], low), np.where(smaller, at + i, where)
+        one, two = np.full(len(at), n, np.uint64), np.full(len(at), n, np.uint64)
+        for i in range(n):
+            one, two = mixed(one) + digest[at + i, 0], mixed(two) + digest[at + i, 1]
+        out.append((owner[at], place[at], np.full(len(at), n), low.view(np.int64), place[where], mixed(one).view(np.int64), mixed(two).view(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(7))
 
 
 def _fingerprints(w: int, long_line: int):
-    """Per chosen fingerprint of a document: fp, how many places it has there (2 counts as many)."""
+    """Per chosen fingerprint of a batch: fp, how many places it has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[int, int] = {}
-            for text in pdf["text"]:
-                _, _, h, words = line_units(text)
-                own: dict[int, set[int]] = {}
-                for i, n, x, f in windows(h, words, w, long_line):
-                    own.setdefault(f, set()).add(i if n == 1 else i + int(np.argmin(h[i : i + n])))
-                for f, places in own.items():
-                    seen[f] = seen.get(f, 0) + len(places)
-            yield pd.DataFrame({"fp": [_signed(f) for f in seen], "n": list(seen.values())}, dtype="int64")
+            text, _, _, fp, place, _, _ = windows(pdf["text"], w, long_line)
+            chosen = np.unique(np.rec.fromarrays([fp, text, place])) if len(fp) else np.rec.fromarrays([fp, text, place])
+            fp, n = np.unique(chosen["f0"], return_counts=True)
+            yield pd.DataFrame({"fp": fp, "n": n.astype(np.int64)})
+        give_back()
 
     return run
 
 
-def _windows(w: int, long_line: int):
+def _places(w: int, long_line: int):
+    """Per window: its fingerprint, the document, where the window starts and ends, and the hash of its lines."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["__row"], pdf["text"]):
-                _, _, h, words = line_units(text)
-                rows += [(doc, i, n, _signed(x), _signed(f)) for i, n, x, f in windows(h, words, w, long_line)]
-            yield pd.DataFrame(rows, columns=["__row", "start", "len", "win", "fp"], dtype="int64")
+            text, start, n, fp, _, one, two = windows(pdf["text"], w, long_line)
+            yield pd.DataFrame({"fp": fp, "__row": pdf["__row"].to_numpy(np.int64)[text], "start": start, "len": n, "w1": one, "w2": two})
+        give_back()
 
     return run
 
 
+def _split_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, how: str) -> DataFrame:
+    """rows joined to keys (on, n, ...), where n counts a key's rows: hot keys, at most HOT of them, by broadcast, so that none gathers in a task."""
+    hot = F.col("n") > max(total // HOT, 1)
+    loud = F.broadcast(keys.where(hot))
+    return rows.join(loud, on, how).unionByName(rows.join(loud, on, "left_anti").join(keys.where(~hot), on, how))
+
+
 def delete_runs(text: str | None, starts, lens) -> tuple[str | None, int, int]:
     """(text without the lines of the given windows, lines deleted, maximal runs deleted)."""
-    lines, at, _, _ = line_units(text)
+    if not len(starts):
+        return text, 0, 0
+    lines, at, _ = line_units(text)
     gone = np.zeros(len(at) + 1, np.int64)
     for s, n in zip(starts, lens):
         gone[s : s + n] = 1
-    if not gone.any():
-        return text, 0, 0
-    drop = set(at[gone[:-1] > 0].tolist())
+    drop = set(np.array(at)[gone[:-1] > 0].tolist())
     runs = int((np.diff(np.concatenate([[0], gone])) > 0).sum())
     return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(drop), runs
 
@@ -115,12 +118,17 @@ def delete_runs(text: str | None, starts, lens) -> tuple[str | None, int, int]:
 def later_windows(docs: DataFrame, w: int = WINDOW, long_line: int = LONG_LINE, order_col: str = "doc_id") -> DataFrame:
     """(doc, starts, lens): the windows of every document that have an earlier place, by (doc_id, line)."""
     plain = docs.where(F.col(order_col).isNotNull()).select(F.col(order_col).cast("long").alias("__row"), "text")
-    repeated = plain.select("text").mapInPandas(_fingerprints(w, long_line), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
-    every = plain.mapInPandas(_windows(w, long_line), "__row long, start long, len long, win long, fp long")
+    counted = plain.select("text").mapInPandas(_fingerprints(w, long_line), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = materialize(counted, "lines-fingerprints")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    every = plain.mapInPandas(_places(w, long_line), "fp long, __row long, start long, len long, w1 long, w2 long")
     # Windows without a repeated fingerprint can't repeat: they go before anything is sorted.
-    some = materialize(every.join(repeated, "fp", "left_semi").drop("fp"), "lines-windows")
-    first = some.groupBy("win", "len").agg(F.min(F.struct("__row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = some.join(first, ["win", "len"]).where(F.struct("__row", "start") > F.col("first"))
+    some = materialize(_split_join(every, repeated, ["fp"], total, "left_semi"), "lines-places")
+    discard(repeated)
+    window = ["fp", "len", "w1", "w2"]
+    first = some.groupBy(*window).agg(F.min(F.struct("__row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "lines-first")
+    later = _split_join(some, first, window, first.agg(F.sum("n")).first()[0] or 0, "inner").where(F.struct("__row", "start") > F.col("first"))
     return later.groupBy("__row").agg(F.collect_list(F.struct("start", "len")).alias("w"))
 
 
@@ -143,6 +151,7 @@ def line_dedup(docs: DataFrame, w: int = WINDOW, long_line: int = LONG_LINE) ->
             made = [delete_runs(t, s or (), n or ()) for t, s, n in zip(texts, starts, lens)]
             new = {"text": pa.array([m[0] for m in made], pa.string()), "n_lines": [t.count("\n") + 1 if t else 0 for t in texts], "n_removed": [m[1] for m in made], "n_runs": [m[2] for m in made]}
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in base} | {k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in new.items()})
+        give_back()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in base] + [f"{k} {v}" for k, v in added.items()])
     return joined.select(*base, "__starts", "__lens").mapInArrow(run, schema)
@@ -171,6 +180,7 @@ WITH l AS (
 ), w AS (
   SELECT doc_id, p AS start, 3 AS n, bare || chr(10) || lead(bare) OVER d || chr(10) || lead(bare, 2) OVER d AS win FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY p)
   UNION ALL SELECT doc_id, p, 1, bare FROM u WHERE words >= 40
+  UNION ALL SELECT * FROM (SELECT doc_id, p, 2, CASE WHEN words < 40 AND lead(words) OVER d < 40 AND words + lead(words) OVER d >= 40 THEN bare || chr(10) || lead(bare) OVER d END FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY p))
 ), k AS (
   SELECT doc_id, start, n, row_number() OVER (PARTITION BY win, n ORDER BY doc_id, start) AS place FROM w WHERE win IS NOT NULL
 ), g AS (
