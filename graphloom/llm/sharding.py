@@ -18,7 +18,6 @@ from ._common import discard, materialize, n_words, read
 DIMS = ("bytes", "tokens", "rows")
 PART_ITEMS = 50_000
 BIG = 4
-CUT_ROWS = 1000
 
 
 def place(items: np.ndarray, room: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
@@ -47,12 +46,12 @@ def _pack(room: np.ndarray):
     return go
 
 
-def shard(docs: DataFrame, n_shards: int = 40, part_items: int = PART_ITEMS, cut_rows: int = CUT_ROWS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, part_items: int = PART_ITEMS) -> DataFrame:
     """Shard and slot of every document, balancing bytes, tokens and rows.
 
-    docs: doc_id, text. Returns doc_id, size (UTF-8 bytes plus 16), text_crc32, tokens, shard and slot. Equal texts go to one shard;
-    only a group of over cut_rows rows that is larger than a whole shard is cut into chunks, of a quarter of a shard, by a hash of
-    doc_id. Null text counts as empty. Repeated rows are placed each; an empty table gives an empty table.
+    docs: doc_id, text. Returns doc_id, size (UTF-8 bytes plus 16), text_crc32, tokens, shard and slot. Equal sizes come first: a group of
+    equal texts goes to one shard if it fits into one; one that holds more bytes, tokens or rows than a shard is cut into chunks of about a quarter of a shard, by a hash of
+    doc_id, whatever its number of rows. Null text counts as empty. Repeated rows are placed each; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -68,7 +67,7 @@ def shard(docs: DataFrame, n_shards: int = 40, part_items: int = PART_ITEMS, cut
     groups = sized.groupBy("key").agg(*vector)
     of_shard = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1))) for c in DIMS]) * F.lit(float(n_shards))
     # Each of these groups holds over 1 / (BIG * n_shards) of one of three totals: at most 3 * BIG * n_shards of them, a bounded broadcast.
-    big = groups.where(of_shard > 1 / BIG).select("key", F.when((of_shard > 1) & (F.col("rows") > cut_rows), F.ceil(of_shard * BIG)).otherwise(1).alias("chunks"))
+    big = groups.where(of_shard > 1 / BIG).select("key", F.when((of_shard > 1) & (F.col("rows") > 1), F.ceil(of_shard * BIG)).otherwise(1).alias("chunks"))
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(0).cast("int").alias("chunk")
     cut = sized.join(F.broadcast(big), "key", "left").select("*", chunk)
     items = materialize(cut.groupBy("key", "chunk").agg(*vector, F.max(F.col("chunks").isNotNull()).alias("first")), "shard-items")
