@@ -155,19 +155,19 @@ class Scanner:
     def _chain(self, hits: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Chain matches that follow each other in the file and in one template; keep chains that cover enough of it."""
         chains: dict[int, list[list[int]]] = {}
-        for start, n, state in hits:
+        open_: dict[int, list[list[int]]] = {}
+        for start, n, state in hits:  # starts never fall, so a chain that ended too far before one of them can't grow any more
             for k, end in sorted(self.automaton.ends[state]):
                 first = end - n + 1
-                own = chains.setdefault(k, [])
+                own = open_[k] = [c for c in open_.get(k, ()) if start - c[1] <= self.max_gap]
                 for c in reversed(own):  # [first word, word after the last, template words used up to, words covered]
-                    if start - c[1] > self.max_gap:
-                        continue
                     skip = max(0, c[1] - start, c[2] - first)
                     if skip < n and first + skip - c[2] <= self.max_gap:
                         c[1], c[2], c[3] = start + n, end + 1, c[3] + n - skip
                         break
                 else:
                     own.append([start, start + n, end + 1, n])
+                    chains.setdefault(k, []).append(own[-1])
         return sorted({(self.labels[k], c[0], c[1] - 1, min(1.0, c[3] / self.sizes[k])) for k, own in chains.items() for c in own if c[3] / self.sizes[k] >= self.min_cover}, key=lambda s: (s[1], s[0], s[2], s[3]))
 
 
