@@ -22,6 +22,8 @@ from ._common import discard, materialize, read
 BLOCK = 8192
 QUERY_BLOCK = 2048
 K = 10
+#: Partial sums of the Gram matrix that reach the driver, and the most range partitions (blocks in them stay as small as ever).
+SUMS, MAX_PARTS = 8, 1 << 16
 _EXACT = float(1 << 53)
 
 
@@ -131,21 +133,27 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = 1024.0, id_co
             g += x.T @ x
         yield pd.DataFrame({"g": [g.tobytes()]})
 
-    grams = base.select("vec").mapInPandas(gram, "g binary")  # one dim x dim matrix a task, summed below without the driver's memory growing
-    total = np.zeros((dim, dim))
-    for row in grams.toLocalIterator():
-        total += np.frombuffer(row["g"]).reshape(dim, dim)
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = np.zeros((dim, dim))
+        for pdf in batches:
+            for one in pdf["g"]:
+                g += np.frombuffer(one).reshape(dim, dim)
+        yield pd.DataFrame({"g": [g.tobytes()]})
+
+    # One dim x dim matrix a task, added up in SUMS tasks; the driver gets one matrix of each.
+    grams = base.select("vec").mapInPandas(gram, "g binary").repartition(SUMS).mapInPandas(add_up, "g binary").collect()
+    total = sum((np.frombuffer(row["g"]).reshape(dim, dim) for row in grams), np.zeros((dim, dim)))
     values, turn = np.linalg.eigh(total)
     turn = turn[:, ::-1].copy()
     energy = np.cumsum(values[::-1]) / max(values.sum(), 1e-300)
     lead = int(min(dim, max(1, np.searchsorted(energy, 0.7) + 1)))
 
-    parts = max(1, min(-(-facts["n"] // block), 4096))
+    parts = max(1, min(-(-facts["n"] // block), MAX_PARTS))
     ordered = base.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id") if parts > 1 else base.coalesce(1).sortWithinPartitions(F.desc("norm"), "vec_id")
     cands = materialize(ordered.select("vec_id", "vec").mapInPandas(_blocks(block, dim, turn), BLOCK_SCHEMA).withColumn("cb", F.monotonically_increasing_id()), "topk-blocks")
     asked = base.where(is_query(F.col("vec_id")))
     n_q = asked.count()
-    qparts = max(1, min(-(-n_q // QUERY_BLOCK), 4096))
+    qparts = max(1, min(-(-n_q // QUERY_BLOCK), MAX_PARTS))
     q = materialize(asked.repartition(qparts, "vec_id").select("vec_id", "vec").mapInPandas(_blocks(QUERY_BLOCK, dim, turn), BLOCK_SCHEMA).withColumn("qb", F.monotonically_increasing_id()), "topk-queries")
     # First look: every query block against the block of the longest vectors sets the floors.
     longest = cands.orderBy(F.desc("longest"), "cb").limit(1).select(F.col("cb").alias("c_cb"))
