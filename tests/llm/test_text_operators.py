@@ -72,7 +72,7 @@ def test_shards(docs, rows, n):
 
 def test_shards_balance_and_split_hot_groups(spark):
     rows = [(i, "same text of a hot group" if i % 3 == 0 else f"text {i} " + "w " * (i % 50)) for i in range(3000)]
-    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8, part_items=300, cut_rows=100).collect()
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8, part_items=300).collect()
     check_shards(out, rows, 8)
     sizes = collections.Counter()
     for r in out:

@@ -1,12 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import _common, bpe, embedding_dedup, line_dedup, minhash, quality, topk
+from graphloom.llm import _common, bpe, embedding_dedup, licenses, line_dedup, minhash, quality, sharding, topk
 
 # --- 3 lines ------------------------------------------------------------------------------------------------------------
 
@@ -185,3 +187,68 @@ def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch, block):
     assert 5 < len(set(part.values())) < 60
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == part
+
+
+# --- 1 one law for groups of all sizes ------------------------------------------------------------------------------------
+
+
+def test_a_group_larger_than_a_shard_is_cut_whatever_its_rows(spark):
+    rows = [(i, "large text " * 200) for i in range(90)] + [(1000 + i, f"small {i}") for i in range(300)]
+    sizes = collections.Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 10 and max(sizes.values()) - min(sizes.values()) <= 2 * (2200 + 16)
+
+
+def test_placement_against_plain_code():
+    r = random.Random(6)
+    items = [[r.randint(0, 90), r.randint(0, 9), 1] for _ in range(200)] + [[5, 5, 5]] * 10
+    room = [[400.0 - 3 * b, 60.0 + b, 30.0] for b in range(7)]
+    total, left = [sum(x[d] for x in items) for d in range(3)], [[0.0] * 3 for _ in room]
+    for d in range(3):
+        whole = sum(max(b[d], 0) for b in room)
+        for b in range(7):
+            left[b][d] = max(room[b][d], 0) / whole * 7
+    share = [[x[d] / total[d] * 7 for d in range(3)] for x in items]
+    want = [None] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-max(share[i]), i)):
+        dots = [sum(left[b][d] * share[i][d] for d in range(3)) for b in range(7)]
+        want[i] = max(range(7), key=lambda b: (round(dots[b], 9), -b))
+        left[want[i]] = [x - y for x, y in zip(left[want[i]], share[i])]
+    assert sharding.place(np.array(items, float), np.array(room)).tolist() == want
+
+
+# --- 2 chains of many repeats ---------------------------------------------------------------------------------------------
+
+
+def test_repeated_notices_are_chained_in_linear_time():
+    scanner = licenses.Scanner()
+    notice = "licensed under the apache license version 2 0 "
+    began = time.perf_counter()
+    scanner.scan("licensed under the apache license " * 1000)
+    short = time.perf_counter() - began
+    scanner.scan("licensed under the apache license " * 8000)
+    assert time.perf_counter() - began < 30 * short + 1
+    spans = scanner.scan(("other words in between of them here now " + notice) * 500)[-1]
+    assert len([s for s in spans if s[0] == "apache-2.0"]) == 500
+    assert {(s[2] - s[1] + 1, s[3]) for s in spans if s[0] == "apache-2.0"} == {(8, 1.0)}
+
+
+# --- 3 hot fingerprints ---------------------------------------------------------------------------------------------------
+
+
+def test_hot_lines_and_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 5)
+    foot = "all of us\nsay goodbye\nfor now"
+    rows = [(i - 30, f"own {i}\nshared line\nown again {i % 7}\n{foot if i % 3 else 'none'}") for i in range(60)]
+    got = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    seen, want = set(), {}
+    for i, text in rows:
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines) - 2):
+            key = tuple(lines[a : a + 3])
+            gone |= {a, a + 1, a + 2} if key in seen else set()
+            seen.add(key)
+        runs = sum(a in gone and a - 1 not in gone for a in range(len(lines)))
+        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone), runs)
+    assert got == want and any(n for _, n, _ in want.values())
