@@ -13,21 +13,23 @@ CLIP = 700.0
 
 
 def draw(key: Column, step: int | Column = 0, seed: int | Column = 0) -> Column:
-    """A uniform number in [0, 1) that depends on key, step and seed only (0 <= each < 2^31).
+    """A uniform number in [0, 1) that depends on key, step and seed only (step and seed below 2^31, key from 0 to 2^62).
 
-    Squaring makes it non-linear, so draws of neighbouring steps are independent. Integer arithmetic below 2^63 gives the same
+    Keys from PRIME on count by quotient and remainder, so they don't repeat the draws of small ones. Squaring makes it non-linear, so draws of neighbouring steps are independent. Integer arithmetic below 2^63 gives the same
     value in any engine.
     """
-    k = key.cast("long")
+    whole = key.cast("long")
+    k = whole % PRIME
+    high = F.call_function("div", whole, F.lit(PRIME)) % PRIME
     s, z = (x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long") for x in (step, seed))
-    x1 = (k * 48271 + s * 40692 + z * 69621 + 1) % PRIME
+    x1 = (k * 48271 + high * 16807 + s * 40692 + z * 69621 + 1) % PRIME
     x2 = (x1 * x1 + s + z) % PRIME
-    x3 = (x2 * 48271 + k) % PRIME
+    x3 = (x2 * 48271 + k + high * 39373) % PRIME
     return ((x3 * x3 + x1) % PRIME).cast("double") / F.lit(float(PRIME))
 
 
 def draw_sql(key: str, step: int = 0, seed: int = 0) -> str:
-    """draw() in SQL."""
+    """draw() in SQL, for keys below PRIME."""
     x1 = f"((CAST({key} AS BIGINT) * 48271 + {step * 40692 + seed * 69621 + 1}) % {PRIME})"
     x2 = f"(({x1} * {x1} + {step + seed}) % {PRIME})"
     x3 = f"(({x2} * 48271 + CAST({key} AS BIGINT)) % {PRIME})"
@@ -35,10 +37,11 @@ def draw_sql(key: str, step: int = 0, seed: int = 0) -> str:
 
 
 def draw_numpy(key: np.ndarray, step=0, seed=0) -> np.ndarray:
-    k = np.asarray(key, np.int64)
-    x1 = (k * 48271 + np.asarray(step, np.int64) * 40692 + np.asarray(seed, np.int64) * 69621 + 1) % PRIME
+    high, k = np.divmod(np.asarray(key, np.int64), PRIME)
+    high = high % PRIME
+    x1 = (k * 48271 + high * 16807 + np.asarray(step, np.int64) * 40692 + np.asarray(seed, np.int64) * 69621 + 1) % PRIME
     x2 = (x1 * x1 + step + seed) % PRIME
-    x3 = (x2 * 48271 + k) % PRIME
+    x3 = (x2 * 48271 + k + high * 39373) % PRIME
     return ((x3 * x3 + x1) % PRIME) / float(PRIME)
 
 

@@ -13,6 +13,7 @@ from ..functions.numeric import draw, draw_numpy
 from ..functions.scores import MODELS, score_columns
 from ..functions.vectors import vec
 from ..scratch import settle
+from .sampling import cumulative
 
 
 def name_map(rows: DataFrame, dictionaries: dict[str, DataFrame]) -> DataFrame:
@@ -86,11 +87,10 @@ def predict(samples: DataFrame, model: str, heads: DataFrame, tails: DataFrame,
 def auc(scored: DataFrame) -> DataFrame:
     """One row (auc) of (y, score): the chance that a positive scores above a negative, ties counting half.
 
-    Counts per distinct score are summed along the scores, so ties need no order and the window runs over distinct scores.
+    Counts per distinct score are summed along the scores, so ties need no order, in blocks of a range partitioning.
     """
     by = scored.groupBy("score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum(1 - F.col("y").cast("long")).alias("n"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    along = by.select("p", "n", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("ahead"))
+    along = cumulative(by.withColumn("__falling", -F.col("score")), "p", ["__falling"]).withColumnRenamed("lo", "ahead")
     return along.agg(F.try_divide(F.sum(F.col("n") * (F.col("ahead") + F.col("p") / 2.0)), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 

@@ -9,24 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import settle
+from .sampling import cumulative
 
 EPSILON = 1e-15
 
 
-def dense_ids(names: DataFrame, order: Column | None = None) -> DataFrame:
-    """(name, id) for distinct names, ids dense from 0 in the order of `order` (by default the name).
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with __at, their place from 0 on in the given order.
 
-    Range-partitioned and checkpointed: each partition numbers its own rows and adds the rows of the partitions before it, so no task sorts all names.
+    Range-partitioned and checkpointed: each partition numbers its own rows and adds the rows of the partitions before it, so no task sorts all rows.
     """
-    key = F.col("name") if order is None else order
-    ranged = names.select("name", key.alias("__key")).repartitionByRange("__key", "name").sortWithinPartitions("__key", "name")
-    tagged = settle(ranged.select("name", F.monotonically_increasing_id().alias("__seq")))
-    part = F.shiftright(F.col("__seq"), 33)
-    counts = tagged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    tagged = settle(ranged.withColumn("__seq", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__seq", 33))
+    counts = tagged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    rows = tagged.withColumn("__part", part).join(F.broadcast(starts), "__part")  # a row a partition
-    return rows.select("name", (F.col("__start") + F.col("__seq") - F.shiftleft("__part", 33)).alias("id"))
+    out = tagged.join(F.broadcast(starts), "__part")  # a row a partition
+    return out.select(*rows.columns, (F.col("__start") + F.col("__seq") - F.shiftleft("__part", 33)).alias("__at"))
+
+
+def dense_ids(names: DataFrame, order: Column | None = None) -> DataFrame:
+    """(name, id) for distinct names, ids dense from 0 in the order of `order` (by default the name)."""
+    key = F.col("name") if order is None else order
+    return numbered(names.select("name", key.alias("__key")), [F.col("__key"), F.col("name")]).select("name", F.col("__at").alias("id"))
 
 
 def vertex_names(edges: DataFrame, by: str = "name") -> DataFrame:
@@ -107,10 +112,9 @@ def flatten(lists: DataFrame) -> DataFrame:
 
 
 def offsets(adjacency: DataFrame) -> DataFrame:
-    """(src, degree, offset): where each vertex's entries begin in the edge list sorted by vertex. One row a vertex is summed."""
+    """(src, degree, offset): where each vertex's entries begin in the edge list sorted by vertex. Blocks of a range partitioning are summed, so no task sees all vertices."""
     degree = adjacency.groupBy("src").agg(F.count("*").alias("degree"))
-    before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    return degree.select("src", "degree", F.coalesce(F.sum("degree").over(before), F.lit(0)).alias("offset"))
+    return cumulative(degree, "degree", ["src"]).select("src", "degree", F.col("lo").cast("long").alias("offset"))
 
 
 def graph_info(edges: DataFrame) -> DataFrame:
@@ -127,7 +131,8 @@ def kg_info(triplets: DataFrame) -> DataFrame:
 
 def zigzag_partition(weights: DataFrame, parts: int) -> DataFrame:
     """(id, weight, part): vertices by falling weight, dealt to and fro over the parts, which balances their sums."""
-    turn = (F.row_number().over(Window.orderBy(F.desc("weight"), "id")) - 1) % (2 * parts)
+    turn = F.col("__at") % (2 * parts)
+    weights = numbered(weights.select("id", "weight"), [F.desc("weight"), F.col("id")])
     return weights.withColumn("__turn", turn).select("id", "weight", F.least(F.col("__turn"), F.lit(2 * parts - 1) - F.col("__turn")).cast("int").alias("part"))
 
 

@@ -29,9 +29,9 @@ def induced_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def edge_split(edges: DataFrame, portions: list[float], seed: int = 1024, key: str = "line") -> DataFrame:
     """edges with a column part: part i gets about portions[i] of the lines; what lies beyond the sum of portions gets null.
 
-    A line's part depends on its number (below 2^31; larger ones wrap) and the seed only.
+    A line's part depends on its number and the seed only.
     """
-    u = draw(F.col(key) % 2147483648, 0, seed)
+    u = draw(F.col(key), 0, seed)
     part, at = F.lit(None).cast("int"), 0.0
     bounds = []
     for p in portions:
@@ -54,7 +54,7 @@ def negative_edges(edges: DataFrame, n: int, seed: int = 1024, rounds: int = 20)
             break
         want = int((n - have) * 1.2) + 16
         tries = spark.range(want).select(
-            "id", F.floor(draw(F.col("id") % 2147483648, 2 * r, seed) * size).alias("a"), F.floor(draw(F.col("id") % 2147483648, 2 * r + 1, seed) * size).alias("b")
+            "id", F.floor(draw(F.col("id"), 2 * r, seed) * size).alias("a"), F.floor(draw(F.col("id"), 2 * r + 1, seed) * size).alias("b")
         ).where("a <> b")
         pairs = tries.join(names.select(F.col("id").alias("a"), F.col("name").alias("src")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("dst")), "b")
         fresh = pairs.join(known, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("id").alias("id"))

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settle
+
+#: Bytes of frequent words (with 64 a word for a table) up to which every worker holds them all.
+SMALL_VOCABULARY = 64 << 20
+
 
 def word_frequency(corpus: DataFrame, min_count: int = 5) -> DataFrame:
     """(word, freq) of words that occur at least min_count times. corpus: (line, tokens)."""
@@ -14,11 +23,36 @@ def word_frequency(corpus: DataFrame, min_count: int = 5) -> DataFrame:
 def word_pairs(corpus: DataFrame, window: int = 5, min_count: int = 5) -> DataFrame:
     """(u, v, n): how often v follows u within the window, after rare words are gone.
 
-    Rare words go first, then positions close up; pairs come from lead() at each distance in one sort, not from a band join. Counts are
-    summed before the shuffle.
+    Rare words go first, then positions close up. While the frequent words, measured in bytes, are few, every worker holds them and pairs are made and counted within the
+    lines where they are; beyond that words are joined and pairs come from lead() at each distance in one sort, not from a band join. Counts are summed before the shuffle.
     """
+    frequent = settle(word_frequency(corpus, min_count).select("word"))
+    size = frequent.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    if size <= SMALL_VOCABULARY:
+        return _pairs_in_place(corpus, frequent, window)
+    return _joined_pairs(corpus, frequent, window)
+
+
+def _pairs_in_place(corpus: DataFrame, frequent: DataFrame, window: int) -> DataFrame:
+    words = sorted(r["word"] for r in frequent.collect())  # at most SMALL_VOCABULARY bytes
+    sent = corpus.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, names = {w: i for i, w in enumerate(sent.value)}, np.array(sent.value, object)
+        for pdf in batches:
+            lines = [[i for i in map(known.get, tokens) if i is not None] for tokens in pdf["tokens"]]
+            ids = np.fromiter((i for line in lines for i in line), np.int64)
+            of = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+            keys = [ids[:-k][same] * len(names) + ids[k:][same] for k in range(1, window + 1) if len(ids) > k for same in [of[:-k] == of[k:]]]
+            pairs, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+            yield pd.DataFrame({"u": names[pairs // max(1, len(names))], "v": names[pairs % max(1, len(names))], "n": n.astype(np.int64)})
+
+    return corpus.select("tokens").mapInPandas(count, "u string, v string, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+
+
+def _joined_pairs(corpus: DataFrame, frequent: DataFrame, window: int) -> DataFrame:
     placed = corpus.select("line", F.posexplode("tokens").alias("pos", "word"))
-    kept = placed.join(word_frequency(corpus, min_count).select("word"), "word", "left_semi")
+    kept = placed.join(frequent, "word", "left_semi")
     along = Window.partitionBy("line").orderBy("pos")
     ahead = kept.select(F.col("word").alias("u"), *[F.lead("word", k).over(along).alias(f"v{k}") for k in range(1, window + 1)])
     pairs = ahead.select("u", F.explode(F.array(*[f"v{k}" for k in range(1, window + 1)])).alias("v")).where("v IS NOT NULL")

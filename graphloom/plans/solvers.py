@@ -83,7 +83,7 @@ class Solver:
     def uniform(self, ids: DataFrame, mat: int, bound: float, used: int | None = None) -> DataFrame:
         """State rows with components uniform in (-bound, bound), a function of seed and id; components from `used` on are 0."""
         used = self.dim if used is None else used
-        at = lambda i: draw((F.col("id") * self.dim + i) % 2147483648, mat, self.seed)
+        at = lambda i: draw(F.col("id") * self.dim + i, mat, self.seed)
         v = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.when(i < used, (at(i) * 2 - 1) * F.lit(float(bound))).otherwise(F.lit(0.0)))
         return self._rows(ids, mat, v)
 
@@ -304,7 +304,7 @@ class KnowledgeGraphSolver(Solver):
     def _quaternions(self, ids: DataFrame, mat: int) -> DataFrame:
         """Quaternions in polar form: a modulus of He scale, a phase, and a random direction of the imaginary part."""
         bound = 1 / math.sqrt(2 * self.dim)
-        at = lambda g, k: draw((F.col("id") * self.dim + g * 4 + k) % 2147483648, mat, self.seed)
+        at = lambda g, k: draw(F.col("id") * self.dim + g * 4 + k, mat, self.seed)
 
         def group(g):
             modulus, phase = (at(g, 0) * 2 - 1) * F.lit(bound), (at(g, 1) * 2 - 1) * F.lit(math.pi)

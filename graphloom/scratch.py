@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in spark.checkpoint.dir; where that is unset (a test), in a temporary folder."""
+    """df as a reliable checkpoint in spark.checkpoint.dir; where that is unset, in a temporary folder in local mode (a test) and an error on a cluster."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
