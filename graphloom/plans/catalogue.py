@@ -96,11 +96,11 @@ def vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
-VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"
+VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label, (SELECT count(*) FROM embeddings) AS nv FROM embeddings)"
 
 
 def n_vectors(spark, sf) -> int:
-    """How many vectors there are; their ids are 0 to one less. The SQL of queries that use it holds 500, which is right for tables of 500 vectors."""
+    """How many vectors there are; their ids are 0 to one less. It is nv in SQL."""
     return table(spark, sf, "embeddings").count()
 
 
@@ -114,7 +114,7 @@ def triples(spark, sf) -> DataFrame:
     return base
 
 
-TRI = VEC + """, tri AS (SELECT a.id AS ord, a.id AS h, b.id AS r, c.id AS t, a.vec AS hv, b.vec AS rv, c.vec AS tv FROM v a JOIN v b ON b.id = (a.id * 7 + 3) % 500 JOIN v c ON c.id = (a.id * 11 + 5) % 500)"""
+TRI = VEC + """, tri AS (SELECT a.id AS ord, a.id AS h, b.id AS r, c.id AS t, a.vec AS hv, b.vec AS rv, c.vec AS tv FROM v a JOIN v b ON b.id = (a.id * 7 + 3) % a.nv JOIN v c ON c.id = (a.id * 11 + 5) % a.nv)"""
 
 
 def corpus(spark, sf) -> DataFrame:
@@ -405,8 +405,8 @@ def negative_sample_node(spark, sf):
     return R.negative_vertices(G.vertex_weights(G.directed(supply_graph(spark, sf))), 1000, 0.75, 7)
 
 
-@query(f"""WITH {VEC}, n AS (SELECT id AS pos, id AS h, id % 7 AS r, (id * 11 + 5) % 500 AS t, k FROM v, range(4) z(k)), d AS (SELECT *, {draw_sql('(pos * 4 + k)', 0, 3)} AS a, {draw_sql('(pos * 4 + k)', 1, 3)} AS b FROM n)
-SELECT pos, CAST(k AS INTEGER) AS k, CASE WHEN b < 0.5 THEN CAST(floor(a * 500) AS BIGINT) ELSE h END AS h, r, CASE WHEN b < 0.5 THEN t ELSE CAST(floor(a * 500) AS BIGINT) END AS t FROM d""")
+@query(f"""WITH {VEC}, n AS (SELECT id AS pos, id AS h, id % 7 AS r, (id * 11 + 5) % nv AS t, nv, k FROM v, range(4) z(k)), d AS (SELECT *, {draw_sql('(pos * 4 + k)', 0, 3)} AS a, {draw_sql('(pos * 4 + k)', 1, 3)} AS b FROM n)
+SELECT pos, CAST(k AS INTEGER) AS k, CASE WHEN b < 0.5 THEN CAST(floor(a * nv) AS BIGINT) ELSE h END AS h, r, CASE WHEN b < 0.5 THEN t ELSE CAST(floor(a * nv) AS BIGINT) END AS t FROM d""")
 def negative_sample_kg(spark, sf):
     n = n_vectors(spark, sf)
     rows = vectors(spark, sf).select(F.col("id").alias("pos"), F.col("id").alias("h"), (F.col("id") % 7).alias("r"), ((F.col("id") * 11 + 5) % n).alias("t"))
@@ -429,23 +429,22 @@ def random_walk_step(spark, sf):
 
 
 @query(f"""WITH {EG}, adj AS (SELECT src, dst, weight FROM eg UNION ALL SELECT dst, src, weight FROM eg UNION ALL SELECT src, 'u1', 1.0 FROM eg WHERE src < 'u2' UNION ALL SELECT 'u1', src, 1.0 FROM eg WHERE src < 'u2'),
-m AS (SELECT src, dst, sum(weight) AS weight FROM adj GROUP BY src, dst), s AS (SELECT row_number() OVER (ORDER BY src, dst) AS walk, src AS prev, dst AS cur FROM m WHERE src < 'u15')
+m AS (SELECT src, dst, sum(weight) AS weight FROM adj GROUP BY src, dst), s AS (SELECT row_number() OVER (ORDER BY src || ' ' || dst) AS walk, src AS prev, dst AS cur FROM m)
 SELECT s.walk, s.prev, s.cur, m.dst, round(CASE WHEN m.dst = s.prev THEN m.weight / 4 WHEN n.src IS NULL THEN m.weight / 2 ELSE m.weight END, 6) AS weight
 FROM s JOIN m ON m.src = s.cur LEFT JOIN m n ON n.src = m.dst AND n.dst = s.prev""")
 def node2vec_weights(spark, sf):
-    from pyspark.sql import Window
-
     e = user_items(spark, sf).select("src", "dst", "weight")
     hub = e.where("src < 'u2'").select("src", F.lit("u1").alias("dst"), F.lit(1.0).alias("weight"))
     adjacency = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).unionByName(hub).unionByName(hub.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    states = adjacency.where("src < 'u15'").select(F.col("src").alias("prev"), F.col("dst").alias("cur")).distinct().withColumn("walk", F.row_number().over(Window.orderBy("prev", "cur")).cast("long"))
+    states = adjacency.select(F.col("src").alias("prev"), F.col("dst").alias("cur"), F.concat_ws(" ", "src", "dst").alias("name")).distinct()
+    states = G.numbered(states, [F.col("name")]).select((F.col("__at") + 1).alias("walk"), "prev", "cur")
     return R.second_order_weights(states, adjacency, 4.0, 2.0).select("walk", "prev", "cur", "dst", r6("weight").alias("weight"))
 
 
-@query(f"""WITH {WORDS}, s AS (SELECT line, list_slice(tokens, 1, 12) AS path FROM tk WHERE len(tokens) > 1), p AS (SELECT line, unnest(path) AS x, unnest(range(len(path))) AS i FROM s)
+@query(f"""WITH {WORDS}, s AS (SELECT line, tokens AS path FROM tk WHERE len(tokens) > 1), p AS (SELECT line, unnest(path) AS x, unnest(range(len(path))) AS i FROM s)
 SELECT a.line AS walk, CAST(a.i AS INTEGER) AS pos, CAST(b.i - a.i AS INTEGER) AS k, a.x AS src, b.x AS dst FROM p a JOIN p b ON a.line = b.line AND b.i BETWEEN a.i + 1 AND a.i + 3""")
 def walk_augmentation(spark, sf):
-    walks = corpus(spark, sf).where(F.size("tokens") > 1).select(F.col("line").alias("walk"), F.slice("tokens", 1, 12).alias("path"))
+    walks = corpus(spark, sf).where(F.size("tokens") > 1).select(F.col("line").alias("walk"), F.col("tokens").alias("path"))
     return R.augmented_pairs(walks, 3)
 
 
@@ -455,17 +454,31 @@ def auto_augmentation(spark, sf):
     return spark.createDataFrame([(auto_augmentation_step(info["num_edge"], info["num_vertex"]),)], "step int")
 
 
-@query()
+_STARTS = LGU + f""", m AS (SELECT src, dst, sum(weight) AS weight FROM adj GROUP BY src, dst), ce AS (SELECT src, dst, weight, sum(weight) OVER (ORDER BY src, dst) AS hi, sum(weight) OVER () AS total FROM m),
+w1 AS (SELECT i AS walk, src || ' ' || dst AS path, src AS prev, dst AS cur FROM (SELECT i, {draw_sql('i', 0, 11)} AS u FROM range(200) t(i)) JOIN ce ON u * total >= hi - weight AND u * total < hi)"""
+
+
+def _first_order(k: int) -> str:
+    return f"w{k + 1} AS (SELECT walk, path || ' ' || dst AS path, cur AS prev, dst AS cur FROM (SELECT *, {draw_sql('walk', k, 11)} AS u FROM w{k}) w JOIN c ON c.src = w.cur AND u * total >= hi - weight AND u * total < hi)"
+
+
+def _second_order(k: int) -> str:
+    return f"""b{k} AS (SELECT w.walk, w.path, w.cur, m.dst, CASE WHEN m.dst = w.prev THEN m.weight / 4 WHEN n.src IS NULL THEN m.weight / 2 ELSE m.weight END AS weight FROM w{k} w JOIN m ON m.src = w.cur LEFT JOIN m n ON n.src = m.dst AND n.dst = w.prev),
+h{k} AS (SELECT *, sum(weight) OVER (PARTITION BY walk ORDER BY dst) AS hi, sum(weight) OVER (PARTITION BY walk) AS total, {draw_sql('walk', k, 11)} AS u FROM b{k}),
+w{k + 1} AS (SELECT walk, path || ' ' || dst AS path, cur AS prev, dst AS cur FROM h{k} WHERE u * total >= hi - weight AND u * total < hi)"""
+
+
+@query(f"WITH {_STARTS}, c AS (SELECT src, dst, weight, sum(weight) OVER (PARTITION BY src ORDER BY dst) AS hi, sum(weight) OVER (PARTITION BY src) AS total FROM m), {', '.join(map(_first_order, range(1, 5)))} SELECT walk, path FROM w5")
 def random_walks(spark, sf):
     return R.random_walks(G.directed(supply_graph(spark, sf)), 200, 5, 11).select("walk", F.array_join("path", " ").alias("path"))
 
 
-@query()
+@query(f"WITH {_STARTS}, {', '.join(map(_second_order, range(1, 4)))} SELECT walk, path FROM w4")
 def node2vec_walks(spark, sf):
     return R.biased_walks(G.directed(supply_graph(spark, sf)), 200, 4, 4.0, 2.0, 11).select("walk", F.array_join("path", " ").alias("path"))
 
 
-@query(f"WITH {_CUM}, d AS (SELECT i AS draw, {draw_sql('i', 0, 5)} AS u FROM range(1000) t(i)), e AS (SELECT draw, src, dst, length(src) % 2 AS hp, length(dst) % 2 AS tp FROM d JOIN c ON u * total >= hi - weight AND u * total < hi), q AS (SELECT *, row_number() OVER (PARTITION BY hp, tp ORDER BY draw) AS n FROM e) SELECT draw, src, dst, CAST(hp AS INTEGER) AS hp, CAST(tp AS INTEGER) AS tp FROM q WHERE n <= 100")
+@query(f"WITH {_CUM}, d AS (SELECT i AS draw, {draw_sql('i', 0, 5)} AS u FROM range(50000) t(i)), e AS (SELECT draw, src, dst, length(src) % 2 AS hp, length(dst) % 2 AS tp FROM d JOIN c ON u * total >= hi - weight AND u * total < hi), q AS (SELECT *, row_number() OVER (PARTITION BY hp, tp ORDER BY draw) AS n FROM e) SELECT draw, src, dst, CAST(hp AS INTEGER) AS hp, CAST(tp AS INTEGER) AS tp FROM q WHERE n <= 100")
 def edge_sample_by_block(spark, sf):
     edges = supply_graph(spark, sf)
     parts = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("part", F.length("id") % 2)
@@ -487,14 +500,14 @@ def seeded_draws(spark, sf):
 
 
 def _optimizer(name: str, opt: Optimizer, expression: str):
-    """One step of an optimizer on the first eight components of every vector, against its closed form."""
+    """One step of an optimizer on every component of every vector, against its closed form."""
 
     def run(spark, sf):
         def step(batches):
             import numpy as np
 
             for pdf in batches:
-                x = np.array(pdf["vec"].to_list(), float)[:, :8]
+                x = np.array(pdf["vec"].to_list(), float)
                 m = [np.full_like(x, 0.5) for _ in range(opt.n_moments)]
                 new = x - opt.step(x, np.cos(x), m, weight=2.0)
                 yield pdf[["id"]].assign(vec=list(np.round(new, 6) + 0.0))
@@ -503,7 +516,7 @@ def _optimizer(name: str, opt: Optimizer, expression: str):
 
     run.__name__ = name
     g = "(2.0 * (cos(x) + 0.01 * x))"
-    query(f"WITH {_COMP} SELECT id, CAST(i AS INTEGER) AS i, round(x - 0.1 * ({expression.format(g=g)}), 6) + 0.0 AS x FROM c WHERE i < 8")(run)
+    query(f"WITH {_COMP} SELECT id, CAST(i AS INTEGER) AS i, round(x - 0.1 * ({expression.format(g=g)}), 6) + 0.0 AS x FROM c")(run)
 
 
 _optimizer("sgd_step", Optimizer("SGD", 0.1, 0.01), "{g}")
@@ -558,7 +571,7 @@ def labelled_nodes(spark, sf):
     return E.labelled(table(spark, sf, "events").select(F.col("user_id").alias("node"), F.col("event_type").alias("label"))).select("node", F.array_join("labels", ",").alias("labels"))
 
 
-@query(f"""WITH {VEC}, s AS (SELECT a.id, list_dot_product(a.vec, b.vec) AS score, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS y FROM v a JOIN v b ON b.id = (a.id * 13 + 1) % 500),
+@query(f"""WITH {VEC}, s AS (SELECT a.id, list_dot_product(a.vec, b.vec) AS score, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS y FROM v a JOIN v b ON b.id = (a.id * 13 + 1) % a.nv),
 r AS (SELECT y, avg(n) OVER (PARTITION BY score) AS rank FROM (SELECT y, score, row_number() OVER (ORDER BY score) AS n FROM s)) SELECT round((sum(rank) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM r""")
 def link_prediction_auc(spark, sf):
     v = vectors(spark, sf)
@@ -567,11 +580,12 @@ def link_prediction_auc(spark, sf):
     return E.link_auc(tests, v, v).select(r6("auc").alias("auc"))
 
 
-_ENT = VEC + ", q AS (SELECT a.id AS q, a.vec AS hv, b.vec AS rv FROM v a JOIN v b ON b.id = (a.id * 7 + 3) % 500 WHERE a.id < 20), s AS (SELECT q, v.id AS entity, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k] + rv[k] - v.vec[k]))) AS score FROM q, v)"
+_ENT = VEC + ", q AS (SELECT a.id AS q, a.nv AS n, a.vec AS hv, b.vec AS rv FROM v a JOIN v b ON b.id = (a.id * 7 + 3) % a.nv WHERE a.id % 20 = 0), s AS (SELECT q, n, v.id AS entity, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k] + rv[k] - v.vec[k]))) AS score FROM q, v)"
 
 
 def _prediction_queries(spark, sf):
-    return vectors(spark, sf).where("id < 20").select(F.col("id").alias("q"), F.col("id").alias("h"), ((F.col("id") * 7 + 3) % 500).alias("r"), F.lit(None).cast("long").alias("t"))
+    """The stated query set of searches: every row whose id is divisible by 20."""
+    return vectors(spark, sf).where("id % 20 = 0").select(F.col("id").alias("q"), F.col("id").alias("h"), ((F.col("id") * 7 + 3) % n_vectors(spark, sf)).alias("r"), F.lit(None).cast("long").alias("t"))
 
 
 @query(f"WITH {_ENT}, r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, entity) AS rank, entity, score FROM s) SELECT q, CAST(rank AS INTEGER) AS rank, entity, round(score, 6) AS score FROM r WHERE rank <= 10")
@@ -580,12 +594,12 @@ def entity_prediction_topk(spark, sf):
     return E.entity_prediction(_prediction_queries(spark, sf), "TransE", v, v, "tail", 10).withColumn("score", r6("score"))
 
 
-@query(f"WITH {_ENT} SELECT q, q AS h, (q * 7 + 3) % 500 AS r, entity AS t FROM s")
+@query(f"WITH {_ENT} SELECT q, q AS h, (q * 7 + 3) % n AS r, entity AS t FROM s")
 def one_vs_rest(spark, sf):
     return E.one_vs_rest(_prediction_queries(spark, sf), vectors(spark, sf))
 
 
-_TRUTH = VEC + ", t AS (SELECT id AS q, id AS h, id % 5 AS r, (id * 11 + 5) % 500 AS t FROM v WHERE id < 60), known AS (SELECT id AS h, id % 5 AS r, (id * j + 5) % 500 AS t FROM v, (SELECT unnest([11, 17, 23]) AS j)), kn AS (SELECT DISTINCT h, r, t FROM known)"
+_TRUTH = VEC + ", t AS (SELECT id AS q, id AS h, id % 5 AS r, (id * 11 + 5) % nv AS t FROM v), known AS (SELECT id AS h, id % 5 AS r, (id * j + 5) % nv AS t FROM v, (SELECT unnest([11, 17, 23]) AS j)), kn AS (SELECT DISTINCT h, r, t FROM known)"
 _RANK = _TRUTH + """, sc AS (SELECT q, t.h, t.r, t.t, e.id AS e, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(a.vec[k] + b.vec[k] - e.vec[k]))) AS s FROM t JOIN v a ON a.id = t.h JOIN v b ON b.id = t.r, v e),
 hc AS (SELECT q, t.h, t.r, t.t, e.id AS e, 12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(e.vec[k] + b.vec[k] - a.vec[k]))) AS s FROM t JOIN v a ON a.id = t.t JOIN v b ON b.id = t.r, v e),
 rk AS (SELECT x.q, 'tail' AS side, count(*) AS rank FROM sc x JOIN sc y ON y.q = x.q AND y.e = x.t WHERE x.s >= y.s AND (x.e = x.t OR NOT EXISTS (SELECT 1 FROM kn WHERE kn.h = x.h AND kn.r = x.r AND kn.t = x.e)) GROUP BY x.q
@@ -594,8 +608,9 @@ UNION ALL SELECT x.q, 'head', count(*) FROM hc x JOIN hc y ON y.q = x.q AND y.e
 
 def _ranks(spark, sf):
     v = vectors(spark, sf)
-    tests = v.where("id < 60").select(F.col("id").alias("q"), F.col("id").alias("h"), (F.col("id") % 5).alias("r"), ((F.col("id") * 11 + 5) % 500).alias("t"))
-    known = v.select(F.col("id").alias("h"), (F.col("id") % 5).alias("r"), F.explode(F.array(F.lit(11), F.lit(17), F.lit(23))).alias("j")).select("h", "r", ((F.col("h") * F.col("j") + 5) % 500).alias("t"))
+    n = n_vectors(spark, sf)
+    tests = v.select(F.col("id").alias("q"), F.col("id").alias("h"), (F.col("id") % 5).alias("r"), ((F.col("id") * 11 + 5) % n).alias("t"))
+    known = v.select(F.col("id").alias("h"), (F.col("id") % 5).alias("r"), F.explode(F.array(F.lit(11), F.lit(17), F.lit(23))).alias("j")).select("h", "r", ((F.col("h") * F.col("j") + 5) % n).alias("t"))
     return E.filtered_ranks(tests, known, "TransE", v, v, "both")
 
 
@@ -645,7 +660,7 @@ def scatter_sum(spark, sf):
     return E.vector_sum(v).select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", r6("x").alias("x"))
 
 
-@query(f"WITH {VEC} SELECT o.i AS ord, v.id, round(v.vec[1], 6) + 0.0 AS x FROM range(1000) o(i) JOIN v ON v.id = (o.i * 7) % 500")
+@query(f"WITH {VEC} SELECT o.i AS ord, v.id, round(v.vec[1], 6) + 0.0 AS x FROM (SELECT unnest(range(2 * (SELECT count(*) FROM embeddings))) AS i) o JOIN v ON v.id = (o.i * 7 + (o.i // (nv // gcd(7, nv))) % gcd(7, nv)) % nv")
 def gather_rows(spark, sf):
     n = n_vectors(spark, sf)
     # Every row twice; where 7 divides n, steps of 7 come back to the same rows, so each round starts one further on.
