@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flagged, read, unflagged
+from ._common import flagged, give_back, read, unflagged
 
 BUCKETS = 1 << 18
 DIM = 16
@@ -30,7 +30,7 @@ PRIOR = 64
 RATE = 0.5
 THRESHOLD = 0.7
 HELD_OUT = 2
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 #: Bytes of words that are cut into n-grams at once; longer words are counted in pieces.
 _AT_ONCE = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -253,6 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         return Model(np.zeros(BUCKETS), 0.0)
     made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
     del got
+    give_back()
     model = Model(*fit(made, y))
     logits = np.array([(n.astype(float) @ model.score[ids]) / n.sum(dtype=np.int64) + model.bias for ids, n in made])
     if 0 < y.sum() < len(y):
@@ -269,6 +270,8 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for pdf in batches:
             s = m.batches(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32), "__null": pdf["__null"]})
+        m._forget()
+        give_back()
 
     rows = flagged(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return unflagged(rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, __null boolean"))
@@ -281,6 +284,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.batches(batch.column("text").to_pylist()) >= threshold))
+        sent.value._forget()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
