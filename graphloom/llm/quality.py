@@ -233,7 +233,7 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most max_train labelled documents outside the held-out fold.
 
-    Rows without id or quality don't count; an id with several labels takes the smallest. Without any usable label the model scores every text 0.5.
+    Rows without id or quality don't count; an id with several labels takes the smallest, one with several texts that with the smallest features. Without any usable label the model scores every text 0.5.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("__y"))
     share = known.agg(F.avg("__y")).first()[0]
@@ -248,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
             made = [bag(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "ids": [a.astype("<i4").tobytes() for a, _ in made], "n": [b.astype("<i4").tobytes() for _, b in made]})
 
-    got = rows.mapInPandas(bags, "doc_id long, y int, ids binary, n binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = rows.mapInPandas(bags, "doc_id long, y int, ids binary, n binary").toPandas().sort_values(["doc_id", "ids", "n"]).drop_duplicates("doc_id")
     if not len(got):
         return Model(np.zeros(BUCKETS), 0.0)
     made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
