@@ -7,6 +7,7 @@ regions, the vectors of embeddings, and the lines of documents as a corpus.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,12 @@ from ..operators import sampling as R
 from ..operators import transforms as T
 from ..operators import viz
 from ..operators import word_graph as WG
-from ..sources.text import TextFormat
+from ..operators.kernels import Settings, kg_step, node_step, vis_step
+from ..scratch import folder as scratch_folder
+from ..sources.text import TextFormat, read_edges, read_triplets
+from ..sources.writers import load_matrix, save_edges, save_model, save_triplets
 from ..streaming.degrees import event_edges, windowed_degrees
+from .solvers import GraphSolver
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -209,6 +214,35 @@ def edge_dump_lines(spark, sf):
     return supply_graph(spark, sf).select(F.concat_ws("\t", "src", "dst", F.format_string("%f", "weight")).alias("value"))
 
 
+def _scratch_path(spark, name: str) -> str:
+    """A new place in the folder that executors share."""
+    return f"{scratch_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {LG} SELECT src, dst, weight, count(*) AS n FROM lg GROUP BY src, dst, weight")
+def edge_file_round_trip(spark, sf):
+    path = _scratch_path(spark, "edges")
+    save_edges(supply_graph(spark, sf), path)
+    return read_edges(spark, path).groupBy("src", "dst", "weight").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TKG} SELECT h, r, t, count(*) AS n FROM kg GROUP BY h, r, t")
+def triplet_file_round_trip(spark, sf):
+    path = _scratch_path(spark, "triplets")
+    save_triplets(knowledge(spark, sf), path)
+    return read_triplets(spark, path).groupBy("h", "r", "t").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {VEC}, o AS (SELECT nv - 1 - id AS id, vec FROM v) SELECT id, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x FROM (SELECT id, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM o)")
+def model_round_trip(spark, sf):
+    """A matrix saved under names and loaded onto a dictionary that numbers them the other way round."""
+    path, v, n = _scratch_path(spark, "model"), vectors(spark, sf), n_vectors(spark, sf)
+    names = v.select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("name"), "id")
+    save_model(path, {"names": names, "matrix": v.select("id", "vec")})
+    back = load_matrix(spark, path, "names", "matrix", names.select("name", (n - 1 - F.col("id")).alias("id")))
+    return back.select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", r6("x").alias("x"))
+
+
 # --- dataset transforms ----------------------------------------------------------------------------------------------
 
 
@@ -543,6 +577,87 @@ def self_adversarial_weights(spark, sf):
     return e.select("q", "ord", r6(F.col("e") / F.sum("e").over(by)).alias("weight"))
 
 
+# --- training ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {VEC}, k AS (SELECT id, unnest(range(16)) AS i FROM v) SELECT id, CAST(i AS INTEGER) AS i, round(({draw_sql('(id * 16 + i)', 0, 3)} * 2 - 1) * 0.5 / 16, 6) + 0.0 AS x FROM k")
+def embedding_init(spark, sf):
+    """First vectors of a node solver of dimension 16, seed 3."""
+    solver = GraphSolver(spark, 16, 3)
+    solver.optimizer = solver.default_optimizer
+    solver.parts = vectors(spark, sf).select("id", F.lit(0).alias("part"), F.lit(1.0).alias("weight"))
+    return solver.init_state().where("mat = 0").select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", r6("x").alias("x"))
+
+
+def _training(name: str, dim: int, outputs: list[str], step, sql: str):
+    """One step of a training routine on the vectors of every triple, each with rows of its own, against its closed form."""
+
+    def run(spark, sf):
+        def work(batches):
+            import numpy as np
+            import pandas as pd
+
+            for pdf in batches:
+                if len(pdf):
+                    rows = [np.array(pdf[c].to_list(), float)[:, :dim] for c in ("hv", "tv", "rv")]
+                    yield pd.DataFrame({"ord": pdf["ord"]} | {c: list(np.round(x, 6) + 0.0) for c, x in zip(outputs, step(np, *rows))})
+
+        schema = "ord long, " + ", ".join(f"{c} array<double>" for c in outputs)
+        out = triples(spark, sf).select("ord", "hv", "tv", "rv").mapInPandas(work, schema)
+        return out.select("ord", F.posexplode(F.arrays_zip(*outputs)).alias("i", "z")).select("ord", "i", *[F.col(f"z.{c}").alias(c) for c in outputs])
+
+    run.__name__ = name
+    query(f"WITH {TRI}, {sql}")(run)
+
+
+def _line_step(np, h, t, r):
+    """Edge (h, t) against the negative context r."""
+    n = len(h)
+    vertex, context, at = h.copy(), np.concatenate([t, r]), np.arange(n)
+    node_step(vertex, context, [[], []], at, at, n + at[:, None], Optimizer("SGD", 0.025, 5e-3), 0.025, Settings(model="LINE", negative_weight=5.0))
+    return vertex, context[:n], context[n:]
+
+
+_training(
+    "line_training_step", 64, ["h", "t", "n"], _line_step,
+    """g AS (SELECT *, 1 / (1 + exp(-list_inner_product(hv, tv))) - 1 AS gp, 5 / (1 + exp(-list_inner_product(hv, rv))) AS gn FROM tri),
+e AS (SELECT ord, gp, gn, unnest(hv) AS h, unnest(tv) AS t, unnest(rv) AS n, unnest(range(64)) AS i FROM g)
+SELECT ord, CAST(i AS INTEGER) AS i, round(h - 0.025 * (gp * t + gn * n + 0.005 * 6 * h), 6) + 0.0 AS h, round(t - 0.025 * (gp * h + 0.005 * t), 6) + 0.0 AS t, round(n - 0.025 * (gn * h + 0.005 * 5 * n), 6) + 0.0 AS n FROM e""",
+)
+
+
+def _transe_step(np, h, t, r):
+    """Triplet (h, r, t) against the tail that has the relation's vector."""
+    n = len(h)
+    entity, relation, at = np.concatenate([h, t, r]), r.copy(), np.arange(n)
+    kg_step(entity, relation, [[], []], at, at, n + at, at[:, None], 2 * n + at[:, None], Optimizer("SGD", 0.5, 0.01), 0.5, Settings(model="TransE", margin=12.0, adversarial_temperature=2.0))
+    return entity[:n], entity[n : 2 * n], entity[2 * n :], relation
+
+
+_training(
+    "transe_training_step", 64, ["h", "t", "n", "r"], _transe_step,
+    """g AS (SELECT *, 1 / (1 + exp(-(12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k] + rv[k] - tv[k])))))) - 1 AS gp, 1 / (1 + exp(-(12.0 - list_sum(list_transform(range(1, 65), lambda k: abs(hv[k])))))) AS gn FROM tri),
+e AS (SELECT ord, gp, gn, unnest(hv) AS h, unnest(tv) AS t, unnest(rv) AS r, unnest(range(64)) AS i FROM g), d AS (SELECT *, gp * sign(h + r - t) AS a, gn * sign(h) AS b FROM e)
+SELECT ord, CAST(i AS INTEGER) AS i, round(h - 0.5 * (-a - b + 0.01 * 2 * h), 6) + 0.0 AS h, round(t - 0.5 * (a + 0.01 * t), 6) + 0.0 AS t, round(r - 0.5 * (b + 0.01 * r), 6) + 0.0 AS n, round(r - 0.5 * (-a - b + 0.01 * 2 * r), 6) + 0.0 AS r FROM d""",
+)
+
+
+def _layout_step(np, h, t, r):
+    """Layout edge (h, t) against the negative r; both ends move."""
+    n = len(h)
+    coords, at = np.concatenate([h, t, r]), np.arange(n)
+    vis_step(coords, [[]], at, n + at, 2 * n + at[:, None], Optimizer("SGD", 0.5), 0.5, Settings(model="LargeVis", negative_weight=3.0))
+    return coords[:n], coords[n : 2 * n], coords[2 * n :]
+
+
+_training(
+    "layout_training_step", 2, ["h", "t", "n"], _layout_step,
+    """g AS (SELECT *, pow(hv[1] - tv[1], 2) + pow(hv[2] - tv[2], 2) AS xp, pow(hv[1] - rv[1], 2) + pow(hv[2] - rv[2], 2) AS xn FROM tri),
+e AS (SELECT ord, i, 2 / (1 + xp) * (hv[i + 1] - tv[i + 1]) AS a, -3 * 2 / (1 + xn) / (xn + 0.1) * (hv[i + 1] - rv[i + 1]) AS b, hv[i + 1] AS h, tv[i + 1] AS t, rv[i + 1] AS n FROM g, range(2) k(i))
+SELECT ord, CAST(i AS INTEGER) AS i, round(h - 0.5 * (a + b), 6) + 0.0 AS h, round(t + 0.5 * a, 6) + 0.0 AS t, round(n + 0.5 * b, 6) + 0.0 AS n FROM e""",
+)
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 
