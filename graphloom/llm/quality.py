@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flagged, give_back, read, unflagged
+from ._common import flagged, give_back, pack, read, unflagged, unpack
 
 BUCKETS = 1 << 18
 DIM = 16
@@ -122,7 +122,21 @@ def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     return ids.astype(np.int32), total[ids].astype(np.int32)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
+class Bags:
+    """Bags of the learning rows, each packed until it is used."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        steps, n = unpack(self.packed[i])
+        return np.cumsum(steps), n
+
+
+def fit(bags: Bags | list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """Learn table and softmax layer; returns (one score a bucket, bias), all that scoring needs."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
@@ -233,7 +247,7 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most max_train labelled documents outside the held-out fold.
 
-    Rows without id or quality don't count; an id with several labels takes the smallest, one with several texts that with the smallest features. Without any usable label the model scores every text 0.5.
+    Rows without id or quality don't count; an id with several labels takes the smallest, one with several texts a fixed one of them. Without any usable label the model scores every text 0.5.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("__y"))
     share = known.agg(F.avg("__y")).first()[0]
@@ -245,17 +259,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [bag(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "ids": [a.astype("<i4").tobytes() for a, _ in made], "n": [b.astype("<i4").tobytes() for _, b in made]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"], "bag": [pack(np.diff(ids, prepend=0), n) for ids, n in map(bag, pdf["text"])]})
 
-    got = rows.mapInPandas(bags, "doc_id long, y int, ids binary, n binary").toPandas().sort_values(["doc_id", "ids", "n"]).drop_duplicates("doc_id")
+    got = rows.mapInPandas(bags, "doc_id long, y int, bag binary").toPandas().sort_values(["doc_id", "bag"]).drop_duplicates("doc_id")
     if not len(got):
         return Model(np.zeros(BUCKETS), 0.0)
-    made, y = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(got["ids"], got["n"])], got["y"].to_numpy()
+    made, y = Bags(got["bag"].to_list()), got["y"].to_numpy()
     del got
     give_back()
     model = Model(*fit(made, y))
-    logits = np.array([(n.astype(float) @ model.score[ids]) / n.sum(dtype=np.int64) + model.bias for ids, n in made])
+    logits = np.array([(n.astype(float) @ model.score[ids]) / n.sum(dtype=np.int64) + model.bias for ids, n in (made[i] for i in range(len(made)))])
     if 0 < y.sum() < len(y):
         model.scale, model.shift = calibrate(logits, y, share)
     return model
