@@ -1,9 +1,10 @@
 """Suffix-array deduplication by a common-prefix-aware distributed merge sort (operator 7).
 
 Only suffixes that can matter are sorted. In every window of MATCH bytes the K-byte string with the smallest hash is an anchor, so two
-equal windows have equal anchors at the same place in them. Anchors that occur in one document only are dropped after their hashes have met
-in a shuffle. For each other anchor the suffix that starts there (as far as a match can reach) and the bytes
-before it, read backwards, make one key. Each chunk of documents sorts its keys and front-codes them into runs; a partition merges the runs of
+equal windows have equal anchors at the same place in them. A document whose whole text a smaller one holds is removed as such and has
+no anchors. Anchors that occur in one document only are dropped after their hashes have met in a shuffle: a chunk sends each hash once,
+without places, gets a bit back for it and finds its anchors again. For each other anchor the suffix that starts there and the bytes
+before it, read backwards, both as far as the windows reach whose anchor it is, make one key. Each chunk of documents sorts its keys and front-codes them into runs; a partition merges the runs of
 all chunks with a loser tree that keeps, for every run, the common prefix with the last key put out and so never compares known
 prefixes again. In the merged order equal keys lie together, and so do the keys of one anchor; from them
 follows which windows around an anchor also start in a document with a smaller id.
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import pack, partitions, read, unpack
@@ -26,9 +27,9 @@ K = 24
 BEFORE = MATCH - K
 KEY = MATCH + BEFORE + 2
 BATCH_BYTES = 1 << 20
-RUN_BYTES = 1 << 23
+HASH_BITS = 44
+COPIES = -1
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -40,11 +41,11 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(y[: len(x) - w + 1], y[w - cur : w - cur + len(x) - w + 1]) if cur < w else y[: len(x) - w + 1]
 
 
-def anchors(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors of texts that end at `ends` in raw: smallest K-byte strings of all windows of MATCH bytes that lie within a text."""
+def anchors(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash) of the anchors of texts that end at `ends` in raw: smallest K-byte strings of all windows of MATCH bytes that lie within a text; smallest hashes by start of window."""
     n = len(raw)
     if n < MATCH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     x = np.ndarray(n - 7, "<u8", raw, 0, (1,))
     m = n - K + 1
     h = x[:m] * _M1
@@ -56,125 +57,150 @@ def anchors(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h *= _M3
     h ^= h >> np.uint64(29)
     h *= _M1
+    h |= np.uint64(1)  # none is 0, which marks windows across the end of a text
     low = _slide(h, MATCH - K + 1, np.minimum)  # by start of window
     for e in ends[:-1].tolist():
         low[max(0, e - MATCH + 1) : e] = 0
     pad = np.zeros(MATCH - K, np.uint64)
     best = _slide(np.concatenate([pad, low, pad]), MATCH - K + 1, np.maximum)
     at = np.flatnonzero((best == h) & (h > 0))
-    return at, h[at]
+    return at, h[at], low
+
+
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a chunk in a fixed order, so that a row number means the same row each time."""
+    return pdf.assign(text=pdf["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+
+
+class _Chunk:
+    """The rows of a chunk in order, and their anchors, the same each time."""
+
+    def __init__(self, docs: pd.DataFrame, copies: list[bytes]):
+        docs = _in_order(docs)
+        self.ids = docs["doc_id"].to_numpy(np.int64)
+        self.raws = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
+        known, named = set(copies), {c[32:] for c in copies}
+        self.copy = [(n := str(i).encode()) in named and hashlib.sha256(r).digest() + n in known for i, r in zip(self.ids.tolist(), self.raws)]
+
+    def batches(self) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+        """Rows that are no copies, their texts in one, and where each ends."""
+        rows, size = [], 0
+        for k, r in enumerate(self.raws):
+            if not self.copy[k] and len(r) >= MATCH:
+                rows.append(k)
+                size += len(r)
+            if rows and (size >= BATCH_BYTES or k == len(self.raws) - 1):
+                yield np.array(rows), b"".join(self.raws[i] for i in rows), np.cumsum([len(self.raws[i]) for i in rows])
+                rows, size = [], 0
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash of HASH_BITS bits) of all anchors, by row and position."""
+        row, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for rows, raw, ends in self.batches():
+            at, h, _ = anchors(raw, ends)
+            row.append(rows[np.searchsorted(ends, at, side="right")])
+            found.append(_spread(h))
+        return np.concatenate(row), np.concatenate(found)
+
+    def keys(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, row, position) of the anchors whose hashes are among those wanted, in order. A key holds the windows of which the anchor is the smallest string."""
+        key, row, pos = [np.zeros((0, KEY), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows, raw, ends in self.batches():
+            at, h, low = anchors(raw, ends)
+            g = _spread(h)
+            use = wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g
+            at, h = at[use], h[use]
+            if not len(at):
+                continue
+            low = np.concatenate([np.zeros(BEFORE, np.uint64), low, np.zeros(BEFORE, np.uint64)])
+            near, far = np.full(len(at), BEFORE), np.zeros(len(at), np.int64)
+            for a in range(BEFORE + 1):
+                own = low[at + BEFORE - a] == h
+                far[own] = a
+                near[own] = np.minimum(near[own], a)
+            right, left = MATCH - near, far
+            buf = np.frombuffer(raw + bytes(MATCH), np.uint8)
+            made = np.zeros((len(at), KEY), np.uint8)
+            for i in range(MATCH):
+                made[:, i] = buf[at + i] * (right > i)
+            for i in range(BEFORE):
+                made[:, MATCH + i] = buf[np.maximum(at - 1 - i, 0)] * (left > i)
+            made[:, -2], made[:, -1] = right, left + 1
+            own = np.searchsorted(ends, at, side="right")
+            key.append(made)
+            row.append(rows[own])
+            pos.append(at - np.concatenate([[0], ends])[own])
+        return np.concatenate(key), np.concatenate(row), np.concatenate(pos)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Anchors are minima, so their hashes crowd at the low end: an odd factor spreads them over the ranges."""
+    return (h * _M2) >> np.uint64(64 - HASH_BITS)
+
+
+def _ranges(h: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes cut into equal ranges of hashes."""
+    part = ((h * np.uint64(parts)) >> np.uint64(HASH_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return [(int(part[a]), a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)])]
 
 
 def _find_anchors(parts: int):
-    """(part, blob): the anchors of a run of documents by hash range, sorted: hash steps, document, position, and the documents."""
-
-    def flush(ids: list, chunks: list, found: list) -> pd.DataFrame:
-        h = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)])
-        doc, pos = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (1, 2))
-        order = np.argsort(h, kind="stable")
-        h, doc, pos = h[order].astype(np.int64), doc[order], pos[order]
-        part = (h * parts) >> 48 if parts < (1 << 15) else h % parts
-        order = np.argsort(part, kind="stable")  # in order already where ranges are cut from the hash itself
-        h, doc, pos, part = h[order], doc[order], pos[order], part[order]
+    """(part, chunk, blob): the distinct hashes of a chunk's anchors by range, as steps, and a bit for each that occurs in two of its documents."""
+
+    def run(docs: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        all_ids, all_chunks = np.array(ids, np.int64), np.array(chunks, np.int64)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
-            used, local = np.unique(doc[a:b], return_inverse=True)
-            named = all_ids[used]
-            rows.append((int(part[a]), pack(np.diff(h[a:b], prepend=0), local, pos[a:b], named & 0xFFFFFFFF, (named >> 32) & 0xFFFFFFFF, all_chunks[used])))
-        return pd.DataFrame(rows, columns=["part", "blob"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, chunks, found, size = [], [], [], 0
-        for pdf in batches:
-            raws, first, wide = [], len(ids), 0
-            rows = list(zip(pdf["doc_id"].tolist(), pdf["chunk"].tolist(), pdf["text"]))
-            for k, (i, c, t) in enumerate(rows):
-                raws.append(t.encode("utf-8", "surrogatepass") if t else b"")
-                ids.append(i)
-                chunks.append(c)
-                wide += len(raws[-1])
-                if wide >= BATCH_BYTES or k == len(rows) - 1:
-                    ends = np.cumsum([len(r) for r in raws])
-                    at, h = anchors(b"".join(raws), ends)
-                    own = np.searchsorted(ends, at, side="right")
-                    begin = ends - np.array([len(r) for r in raws], np.int64)
-                    # Anchors are minima, so their hashes crowd at the low end: an odd factor spreads them over the ranges.
-                    found.append(((h * _M2) >> np.uint64(16), (own + first).astype(np.int32), at - begin[own]))
-                    size, raws, first, wide = size + wide, [], len(ids), 0
-                    if size >= RUN_BYTES:
-                        yield flush(ids, chunks, found)
-                        ids, chunks, found, size, first = [], [], [], 0, 0
-        if ids:
-            yield flush(ids, chunks, found)
+        if len(docs):
+            chunk = _Chunk(docs, copies["blob"].tolist())
+            row, h = chunk.anchors()
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], chunk.ids[row[order]]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(h) else np.zeros(0, bool)
+            h, name = h[first], int(docs["chunk"].iloc[0])
+            for p, a, b in _ranges(h, parts):
+                rows.append((p, name, pack(np.diff(h[a:b].astype(np.int64), prepend=(p << HASH_BITS) // parts), np.packbits(several[a:b]).tobytes())))
+        return pd.DataFrame(rows, columns=["part", "chunk", "blob"]).astype({"part": "int32", "chunk": "int64"})
 
     return run
 
 
 def _keep_repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Anchors of a hash range that occur in two documents or more, by chunk: (chunk, blob) with document and position."""
+    """For the hashes that each chunk sent of a range: (part, chunk, blob) with a bit for each that occurs in two documents or more."""
     got = [unpack(b) for b in pdf["blob"]]
+    sizes = [len(g[0]) for g in got]
     h = np.concatenate([np.cumsum(g[0]) for g in got])
-    doc = np.concatenate([(g[3] | (g[4] << 32))[g[1]] for g in got])
-    chunk = np.concatenate([g[5][g[1]] for g in got])
-    pos = np.concatenate([g[2] for g in got])
+    several = np.concatenate([np.unpackbits(np.frombuffer(g[1], np.uint8), count=n) for g, n in zip(got, sizes)])
     order = np.argsort(h, kind="stable")
-    h, doc, chunk, pos = h[order], doc[order], chunk[order], pos[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    use = np.repeat(several, np.diff(np.concatenate([first, [len(h)]])))
-    doc, chunk, pos = doc[use], chunk[use], pos[use]
-    order = np.lexsort((pos, doc, chunk))
-    doc, chunk, pos = doc[order], chunk[order], pos[order]
-    cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
-    ends = np.concatenate([cut[1:], [len(chunk)]])
-    rows = [(int(chunk[a]), pack(doc[a:b] & 0xFFFFFFFF, (doc[a:b] >> 32) & 0xFFFFFFFF, pos[a:b])) for a, b in zip(cut, ends)]
-    return pd.DataFrame(rows, columns=["chunk", "blob"])
+    first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    times = np.diff(np.concatenate([first, [len(h)]]))
+    use = np.empty(len(h), bool)  # a document lies in one chunk, so what two chunks hold is in two documents
+    use[order] = np.repeat((times > 1) | (np.maximum.reduceat(several[order], first) > 0), times)
+    ends = np.cumsum(sizes)
+    rows = [(p, c, pack(np.packbits(use[e - n : e]).tobytes())) for p, c, n, e in zip(pdf["part"].tolist(), pdf["chunk"].tolist(), sizes, ends.tolist()) if use[e - n : e].any()]
+    return pd.DataFrame(rows, columns=["part", "chunk", "blob"]).astype({"part": "int32", "chunk": "int64"})
 
 
-def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a chunk in a fixed order, so that a row number means the same row each time."""
-    return pdf.assign(text=pdf["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
-
-
-def _sorted_runs(parts: int):
+def _sorted_runs(hashed: int, parts: int):
     """Keys of a chunk's repeated anchors, sorted and front-coded: (part, chunk, blob)."""
 
     def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"part": pd.Series([], dtype="int32"), "chunk": pd.Series([], dtype="int64"), "blob": pd.Series([], dtype=object)})
-        if not len(docs) or not len(found):
+        if not len(docs) or not (found["part"] != COPIES).any():
             return none
-        chunk = int(docs["chunk"].iloc[0])
-        docs = _in_order(docs)
-        got = [unpack(b) for b in found["blob"]]
-        doc = np.concatenate([g[0] | (g[1] << 32) for g in got])
-        pos = np.concatenate([g[2] for g in got])
-        ids = docs["doc_id"].to_numpy(np.int64)
-        lo, hi = np.searchsorted(ids, doc, side="left"), np.searchsorted(ids, doc, side="right")
-        row = np.repeat(lo, hi - lo) + np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        pos = np.repeat(pos, hi - lo)
-        raws = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
-        sizes = np.array([len(r) for r in raws], np.int64)
-        fits = pos + K <= sizes[row]
-        row, pos = row[fits], pos[fits]
-        if not len(row):
-            return none
-        starts = np.cumsum(sizes) - sizes
-        buf = np.frombuffer(b"".join(raws) + bytes(MATCH), np.uint8)
-        at = starts[row] + pos
-        right, left = np.minimum(sizes[row] - pos, MATCH), np.minimum(pos, BEFORE)
-        key = np.zeros((len(row), KEY), np.uint8)
-        for i in range(MATCH):
-            key[:, i] = buf[at + i] * (right > i)
-        for i in range(BEFORE):
-            key[:, MATCH + i] = buf[np.maximum(at - 1 - i, 0)] * (left > i)
-        key[:, -2], key[:, -1] = right, left + 1
+        name = int(docs["chunk"].iloc[0])
+        copies = found["part"] == COPIES
+        chunk = _Chunk(docs, found["blob"][copies].tolist())
+        bits = dict(zip(found["part"][~copies].tolist(), found["blob"][~copies]))
+        sent = np.unique(chunk.anchors()[1])
+        wanted = [sent[a:b][np.unpackbits(np.frombuffer(unpack(bits[p])[0], np.uint8), count=b - a) > 0] for p, a, b in _ranges(sent, hashed) if p in bits]
+        key, row, pos = chunk.keys(np.concatenate(wanted))
+        nth = row - np.searchsorted(chunk.ids, chunk.ids[row], side="left")
         part = np.frombuffer(key[:, :K].tobytes(), "<u8").reshape(-1, 3)
         part = ((part[:, 0] * _M1 ^ part[:, 1] * _M2 ^ part[:, 2] * _M3) * _M1 >> np.uint64(33)).astype(np.int64) % parts
         strings = key.view(f"S{KEY}").reshape(-1)
         order = np.lexsort((row, strings, part))
-        key, row, pos, part = key[order], row[order], pos[order], part[order]
+        key, doc, nth, pos, part = key[order], chunk.ids[row[order]], nth[order], pos[order], part[order]
         differs = key[1:] != key[:-1]
         new = np.concatenate([[True], differs.any(1) | (part[1:] != part[:-1])])
         common = np.concatenate([[0], np.where(differs.any(1), differs.argmax(1), KEY)])
@@ -185,25 +211,31 @@ def _sorted_runs(parts: int):
             distinct = a + np.flatnonzero(new[a:b])
             shared = common[distinct].copy()
             shared[0] = 0
-            tail = key[distinct][np.arange(KEY)[None] >= shared[:, None]].tobytes()
-            used, local = np.unique(row[a:b], return_inverse=True)
-            named = ids[used]
+            right, left = key[distinct, -2].astype(np.int64), key[distinct, -1].astype(np.int64)
+            tail = key[distinct][_sent(shared, right, left)].tobytes()
             times = np.diff(np.concatenate([distinct, [b]]))
-            out.append((p, chunk, pack(shared, tail, times, local, pos[a:b], used, named & 0xFFFFFFFF, (named >> 32) & 0xFFFFFFFF)))
+            out.append((p, name, pack(shared, right, left, tail, times, doc[a:b] & 0xFFFFFFFF, (doc[a:b] >> 32) & 0xFFFFFFFF, nth[a:b], pos[a:b])))
         return pd.DataFrame(out, columns=["part", "chunk", "blob"]).astype({"part": "int32", "chunk": "int64"})
 
     return run
 
 
-def _decode(shared: np.ndarray, tail: bytes) -> list[bytes]:
+def _sent(shared: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which bytes of front-coded keys are sent: those behind the common prefix that aren't filled up with zeros. The two last bytes are `right` and `left` themselves."""
+    at = np.arange(KEY)[None]
+    return (at >= shared[:, None]) & ((at < right[:, None]) | ((at >= MATCH) & (at < (MATCH + left - 1)[:, None])))
+
+
+def _decode(shared: np.ndarray, right: np.ndarray, left: np.ndarray, tail: bytes) -> list[bytes]:
     """The keys of a front-coded run."""
-    out, at, prev = [], 0, b""
-    for n in shared.tolist():
-        end = at + KEY - n
-        prev = prev[:n] + tail[at:end]
-        at = end
-        out.append(prev)
-    return out
+    n = len(shared)
+    key, at = np.zeros((n, KEY), np.uint8), np.arange(n)
+    key[_sent(shared, right, left)] = np.frombuffer(tail, np.uint8)
+    for i in range(KEY - 2):
+        key[:, i] = key[np.maximum.accumulate(np.where(shared <= i, at, 0)), i]
+    key[:, -2], key[:, -1] = right, left
+    raw = key.tobytes()
+    return [raw[i : i + KEY] for i in range(0, n * KEY, KEY)]
 
 
 def _common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -290,20 +322,20 @@ def merge_runs(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[i
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All runs of one partition of keys: the covered byte ranges, by chunk: (chunk, blob) with row, start, length."""
+    """All runs of one partition of keys: the covered byte ranges, by chunk: (part, chunk, blob) with document, number among its rows, start, length."""
     pdf = pdf.sort_values("chunk")
     got = [unpack(b) for b in pdf["blob"]]
-    runs = [_decode(g[0], g[1]) for g in got]
+    runs = [_decode(*g[:4]) for g in got]
     order, steps = merge_runs(runs, [g[0].tolist() for g in got])
     order, steps = np.array(order, np.int64), np.array(steps, np.int64)
     key_class = np.cumsum(steps < KEY) - 1
     class_of = key_class[np.argsort(order, kind="stable")]  # of all keys, run by run
-    times = np.concatenate([g[2] for g in got])
+    times = np.concatenate([g[4] for g in got])
     entry_class = np.repeat(class_of, times)
-    entry_row = np.concatenate([g[5][g[3]] for g in got])
-    entry_doc = np.concatenate([(g[6] | (g[7] << 32))[g[3]] for g in got])
-    entry_pos = np.concatenate([g[4] for g in got])
-    entry_chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), [len(g[3]) for g in got])
+    entry_doc = np.concatenate([g[5] | (g[6] << 32) for g in got])
+    entry_nth = np.concatenate([g[7] for g in got])
+    entry_pos = np.concatenate([g[8] for g in got])
+    entry_chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), [len(g[5]) for g in got])
     n = int(key_class[-1]) + 1
     smallest = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(smallest, entry_class, entry_doc)
@@ -342,13 +374,14 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     late = entry_doc > smallest[entry_class]
     a_low, a_high = np.where(late, near[entry_class], low[entry_class]), np.where(late, far[entry_class], high[entry_class])
     use = a_low <= a_high
-    chunk, row = entry_chunk[use], entry_row[use]
+    chunk, doc, nth = entry_chunk[use], entry_doc[use], entry_nth[use]
     start, stop = (entry_pos - a_high)[use], (entry_pos - a_low + MATCH)[use]
-    by = np.lexsort((start, row, chunk))
-    chunk, row, start, stop = chunk[by], row[by], start[by], stop[by]
+    by = np.lexsort((start, nth, doc, chunk))
+    chunk, doc, nth, start, stop = chunk[by], doc[by], nth[by], start[by], stop[by]
     cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
-    rows = [(int(chunk[a]), pack(row[a:b], start[a:b], stop[a:b] - start[a:b])) for a, b in zip(cut, np.concatenate([cut[1:], [len(chunk)]]))]
-    return pd.DataFrame(rows, columns=["chunk", "blob"]).astype({"chunk": "int64"})
+    p = int(pdf["part"].iloc[0])
+    rows = [(p, int(chunk[a]), pack(doc[a:b] & 0xFFFFFFFF, (doc[a:b] >> 32) & 0xFFFFFFFF, nth[a:b], start[a:b], stop[a:b] - start[a:b])) for a, b in zip(cut, np.concatenate([cut[1:], [len(chunk)]]))]
+    return pd.DataFrame(rows, columns=["part", "chunk", "blob"]).astype({"part": "int32", "chunk": "int64"})
 
 
 def rank_in_run(order: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -361,18 +394,25 @@ def rank_in_run(order: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _cut_out(texts: bool):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5]
+
     def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        base, rows = _in_order(docs), []
-        got = [unpack(b) for b in found["blob"]]
-        row, start, wide = (np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)]) for i in range(3))
+        if not len(docs):
+            return pd.DataFrame([], columns=names)
+        copies, rows = found["part"] == COPIES, []
+        chunk = _Chunk(docs, found["blob"][copies].tolist())
+        got = [unpack(b) for b in found["blob"][~copies]]
+        low, up, nth, start, wide = (np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)]) for i in range(5))
+        row = np.searchsorted(chunk.ids, low | (up << 32), side="left") + nth
         order = np.argsort(row, kind="stable")
         row, start, wide = row[order], start[order], wide[order]
-        cut = np.searchsorted(row, np.arange(len(base) + 1))
-        for k, (i, t) in enumerate(zip(base["doc_id"].tolist(), base["text"])):
-            raw = t.encode("utf-8", "surrogatepass") if t else b""
+        cut = np.searchsorted(row, np.arange(len(chunk.ids) + 1))
+        for k, (i, raw) in enumerate(zip(chunk.ids.tolist(), chunk.raws)):
             n, removed, spans, kept = len(raw), 0, 0, raw
             a, b = cut[k], cut[k + 1]
-            if a < b:
+            if chunk.copy[k]:
+                removed, spans, kept = n, 1, b""
+            elif a < b:
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, start[a:b], 1)
                 np.add.at(edge, start[a:b] + wide[a:b], -1)
@@ -381,7 +421,7 @@ def _cut_out(texts: bool):
                 spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             rows.append((i, n, removed, spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if texts else ()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5])
+        return pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -390,18 +430,22 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, chunk_factor: int = 4) ->
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with texts: kept, the bytes left) of every row of docs (doc_id, text).
 
     Removed is each byte covered by a string of MATCH bytes that also starts in a document with a smaller doc_id, judged on the input. Null text counts as empty; rows without doc_id neither lose bytes nor take any from others;
-    rows with the same doc_id don't count as each other's smaller document. Texts under MATCH bytes stay. Documents are hashed into chunks of bounded size, and a chunk's texts are shuffled once.
+    rows with the same doc_id don't count as each other's smaller document. Texts under MATCH bytes stay. Documents are hashed into chunks of bounded size, and a chunk's texts are shuffled once. What else is shuffled are hashes of anchors without their places, and keys of repeated ones, in a blob for each chunk and range.
     """
     splits = partitions(docs)
-    parts = int(min(max(2 * splits, 8), 1 << 20))
+    hashed, parts = int(min(max(splits, 8), 1 << 19)), int(min(max(2 * splits, 8), 1 << 20))
     chunks = int(max(8, splits * chunk_factor))
     plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).cast("long").alias("chunk"))
-    found = plain.mapInPandas(_find_anchors(parts), "part int, blob binary")
-    repeated = found.groupBy("part").applyInPandas(_keep_repeated, "chunk long, blob binary")
-    runs = plain.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInPandas(_sorted_runs(parts), "part int, chunk long, blob binary")
-    ranges = runs.groupBy("part").applyInPandas(_merge, "chunk long, blob binary")
+    texts_of, passed = plain.groupBy("chunk"), "part int, chunk long, blob binary"
+    long = plain.where(F.octet_length("text") >= MATCH).select("chunk", "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    copies = long.withColumn("least", F.min("doc_id").over(Window.partitionBy("digest"))).where("doc_id > least")
+    copies = copies.select(F.lit(COPIES).alias("part"), "chunk", F.concat("digest", F.col("doc_id").cast("string").cast("binary")).alias("blob"))
+    found = texts_of.cogroup(copies.groupBy("chunk")).applyInPandas(_find_anchors(hashed), passed)
+    repeated = found.groupBy("part").applyInPandas(_keep_repeated, passed)
+    runs = texts_of.cogroup(repeated.unionByName(copies).groupBy("chunk")).applyInPandas(_sorted_runs(hashed, parts), passed)
+    ranges = runs.groupBy("part").applyInPandas(_merge, passed)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    out = plain.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInPandas(_cut_out(texts), schema)
+    out = texts_of.cogroup(ranges.unionByName(copies).groupBy("chunk")).applyInPandas(_cut_out(texts), schema)
     raw, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
     rest = [F.lit(None).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256")]
     return out.unionByName(docs.where("doc_id IS NULL").select(*rest, *([raw.cast("binary").alias("kept")] if texts else [])))

@@ -249,6 +249,34 @@ def test_suffix_dedup_of_odd_tables(spark, empty, clashing, rows):
     assert got == [(False, 5, 0), (False, 5, 0), (False, 6, len(t)), (True, 0, 0)]
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_suffix_dedup_shuffles_little_where_ranges_are_many(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(32, 127, 3000))) for _ in range(300)]
+    texts += [t[:1000] + "changed" + t[1007:] for t in texts[:60]] + texts[100:200]
+    rows = [(i * 7919, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    table.count()
+    before = shuffled_bytes(spark)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(table).collect()}
+    assert shuffled_bytes(spark) - before < 5.2 * sum(map(len, texts))
+    assert got == brute_bytes(rows)
+
+
+def test_suffix_dedup_of_copies_and_of_zero_bytes(spark):
+    a, b = "a text of which there are copies, and it is longer than fifty bytes" * 2, "another one that stays as it is and has more than fifty bytes as well"
+    zeros = "\0" * 70
+    table = spark.createDataFrame([(1, a), (2, a), (2, b), (3, "x" + b), (-4, a + "!"), (5, zeros + "p"), (6, "q" + zeros)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(table, texts=True).collect())
+    assert got == sorted([(1, len(a), len(a), 1, b""), (2, len(a), len(a), 1, b""), (2, len(b), 0, 0, b.encode()), (3, len(b) + 1, len(b), 1, b"x"), (-4, len(a) + 1, 0, 0, (a + "!").encode()), (5, 71, 0, 0, (zeros + "p").encode()), (6, 71, 70, 1, b"q")])
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = np.random.default_rng(9)
     n = suffix_dedup.KEY
