@@ -1,10 +1,15 @@
 """What queries move and hold as their tables grow, on small tables."""
 
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
+from graphloom.functions.scores import MODELS
+from graphloom.operators import evaluate as E
+from graphloom.operators import graph as G
+from graphloom.operators import knn as K
 from graphloom.operators import sampling as R
 
 
@@ -27,3 +32,45 @@ def test_second_order_candidates_are_not_shuffled(spark, monkeypatch, candidates
     want = {(i, prev, cur, d, w[cur, d] / (4 if d == prev else 1 if (d, prev) in w else 2)) for i, (prev, cur) in enumerate(states) for d in range(30) if (cur, d) in w}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert top_join(got).startswith("cur#")
+
+
+def test_exact_neighbours_with_ties_offsets_and_copies(spark):
+    """Far from the origin single precision says little: the exact distances still decide, and copies tie to smaller ids."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(60, 8)), rng.normal(size=(60, 8)) + 3e4, np.repeat(rng.normal(size=(2, 8)), 20, 0)])
+    near = K.Nearest(np.arange(160), x, 5)
+    for s in (slice(0, 70), slice(70, 75), slice(75, 160)):
+        near.show(np.arange(160)[s], x[s], rows=16, width=32)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(160), d.shape), d), axis=1)[:, :5]
+    assert (near.near == want).all() and np.array_equal(near.d2, np.take_along_axis(d, want, 1))
+
+
+def test_neighbours_are_searched_once_for_both_directions(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "settle", lambda df: seen.append(1) or df.checkpoint())
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rows = spark.createDataFrame([(1, 2, 4.0), (2, 1, 2.0), (2, 3, 5.0)], "src long, dst long, weight double")
+    assert {tuple(r) for r in G.symmetrize(rows).collect()} == {(1, 2, 3.0), (2, 1, 3.0), (2, 3, 5.0)} and seen == [1]
+
+
+@pytest.mark.parametrize("side", ["head", "tail"])
+def test_blocks_of_ranks_are_counted_exactly(side):
+    """Ties with the truth, copies of it, and candidates next to it in single precision."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6)).round(1)
+    x[50:60], x[60:64] = x[7], x[7] + 1e-9
+    g, r, truth = rng.normal(size=(40, 6)).round(1), rng.normal(size=(40, 6)).round(1), np.arange(40)
+    floor = MODELS["TransE"].score(*((x[:40], g) if side == "head" else (g, x[:40])), r, 12.0)
+    pair = SimpleNamespace(q=truth.tobytes(), truth=truth.tobytes(), ids=np.arange(300).tobytes(), g=g.tobytes(), r=r.tobytes(), s=floor.tobytes(), x=x.tobytes(), m=40, n=300)
+    want = [sum(e != i and E._scores("TransE", 12.0, side, g[i], r[i], x[e : e + 1])[0] >= floor[i] for e in range(300)) for i in range(40)]
+    assert E._count_above("TransE", 12.0, side, pair).tolist() == want
+
+
+def test_ranking_is_spread_over_tasks(spark):
+    """Few rows were a task or two, and one side was broadcast: all pairs of blocks ran on a core or two."""
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(2000)], "id long, vec array<double>").coalesce(1)
+    q = spark.range(2000).selectExpr("id AS q", "id AS h", "id % 5 AS r", "(id * 11 + 5) % 2000 AS t")
+    plan = E._block_pairs(q, v, v, "TransE", "tail", 12.0, E._entity_blocks(v, 4096))
+    assert plan.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and "CartesianProduct" in plan._jdf.queryExecution().toString()
