@@ -1,6 +1,7 @@
 """What queries move and hold as their tables grow, on small tables."""
 
 import re
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -11,6 +12,7 @@ from graphloom.operators import evaluate as E
 from graphloom.operators import graph as G
 from graphloom.operators import knn as K
 from graphloom.operators import sampling as R
+from graphloom.operators import word_graph as WG
 
 
 def top_join(df) -> str:
@@ -74,3 +76,22 @@ def test_ranking_is_spread_over_tasks(spark):
     q = spark.range(2000).selectExpr("id AS q", "id AS h", "id % 5 AS r", "(id * 11 + 5) % 2000 AS t")
     plan = E._block_pairs(q, v, v, "TransE", "tail", 12.0, E._entity_blocks(v, 4096))
     assert plan.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and "CartesianProduct" in plan._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_words_are_counted_as_numbers(spark, monkeypatch, room):
+    """One shuffle of pairs, without words in it; degrees and occurrences follow from the same counts."""
+    monkeypatch.setattr(WG, "SMALL_VOCABULARY", room)
+    monkeypatch.setattr(WG, "HELD_PAIRS", 20, raising=False)
+    lines = [[f"w{(i * k) % 7}" for k in range(i % 9)] for i in range(40)] + [["w1"] * 6, [], ["once", "w1", "w2"]]
+    corpus = spark.createDataFrame(list(enumerate(lines)), "line long, tokens array<string>").repartition(3)
+    kept = [[w for w in line if w != "once"] for line in lines]
+    both = Counter(e for line in kept for i, u in enumerate(line) for v in line[i + 1 : i + 3] for e in ((u, v), (v, u)))
+    graph = WG.word_graph(corpus, 2, 5)
+    assert {(r.src, r.dst): r.weight for r in graph.collect()} == both
+    assert Counter((r.src, r.dst) for r in WG.word_occurrences(corpus, 2, 5).collect()) == both
+    degree = Counter()
+    for (u, _), n in both.items():
+        degree[u] += n
+    assert {r.id: r.weight for r in WG.word_degrees(corpus, 2, 5).collect()} == degree
+    assert "hashpartitioning(u#" not in (plan := graph._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(pair#" in plan
