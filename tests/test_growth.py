@@ -95,3 +95,24 @@ def test_words_are_counted_as_numbers(spark, monkeypatch, room):
         degree[u] += n
     assert {r.id: r.weight for r in WG.word_degrees(corpus, 2, 5).collect()} == degree
     assert "hashpartitioning(u#" not in (plan := graph._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(pair#" in plan
+
+
+def test_walks_read_only_the_edges_they_pass(spark, monkeypatch):
+    """Both plans of walks agree, and draws in two steps are those over all edges in a row."""
+    rng = np.random.default_rng(3)
+    rows = [(f"v{a}", f"v{b}", float(w)) for a, b, w in rng.integers(0, 9, (60, 3))] + [("v0", f"v{i}", 2.0) for i in range(9)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    merged = edges.groupBy("src", "dst").agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "weight")
+    flat = R.weighted_draws(merged, "weight", ["src", "dst"], 60, 4).select("draw", "src", "dst")
+    assert sorted(R.positive_edges(edges, 60, 4).collect()) == sorted(flat.collect())
+    made = lambda: [sorted(map(tuple, w.collect())) for w in (R.random_walks(edges, 20, 3, 4), R.biased_walks(edges, 20, 3, 4.0, 2.0, 4))]
+    few, seen = made(), []
+    monkeypatch.setattr(R, "FEW", 0)
+    monkeypatch.setattr(R, "transition_tables", lambda a, f=R.transition_tables: seen.append(1) or f(a))
+    assert made() == few and seen == [1]
+
+
+def test_rows_of_a_relation_do_not_meet_in_a_task(spark):
+    k = spark.createDataFrame([(f"o{i}", "placed_by", f"c{i % 5}", 1.0) for i in range(40)], "h string, r string, t string, weight double")
+    out = G.encode_triplets(k, *G.kg_names(k))
+    assert out.count() == 40 and "hashpartitioning(r#" not in out._jdf.queryExecution().executedPlan().toString()
