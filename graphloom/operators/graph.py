@@ -12,6 +12,8 @@ from ..scratch import settle
 from .sampling import cumulative
 
 EPSILON = 1e-15
+#: Names that are sent to every executor.
+FEW_NAMES = 50_000
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -46,7 +48,9 @@ def vertex_names(edges: DataFrame, by: str = "name") -> DataFrame:
 
 
 def encode(edges: DataFrame, names: DataFrame, columns: tuple[str, ...] = ("src", "dst")) -> DataFrame:
-    """edges with names replaced by ids; a row with an unknown name goes."""
+    """edges with names replaced by ids; a row with an unknown name goes. A few names are broadcast: all rows of one, such as a relation's, would else meet in one task."""
+    if names.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        names = F.broadcast(names)
     for c in columns:
         edges = edges.join(names.select(F.col("name").alias(c), F.col("id").alias(f"__{c}")), c).drop(c).withColumnRenamed(f"__{c}", c)
     return edges
